@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .chat import op9_chat_formatting
+from .mixing import op1_mixing
+from .pii import op10_pii
 from .quality import op6_quality_rules
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
