@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .chat import op9_chat_formatting
 from .mixing import op1_mixing
 from .pii import op10_pii
@@ -10,6 +11,7 @@ from .quality import op6_quality_rules
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_bpe": op7_bpe,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_pii": op10_pii,
 }
