@@ -24,9 +24,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by an eager checkpoint in the shared folder."""
+    """df with its lineage cut by an eager checkpoint in the shared folder.
+
+    What was shuffled for it isn't needed any more; a collection of the driver's garbage lets Spark
+    remove those files now rather than some time later."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def ascii_lower(c):

@@ -95,7 +95,7 @@ def bounds(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
 
 
 REQUEST = "chunk long, bucket long, keys binary, extra binary, more binary"
-REPLY = "chunk long, bucket long, reply binary"
+REPLY = "chunk long, bucket long, reply binary, sums array<long>"
 
 
 def requests(chunk: int, keys: np.ndarray, buckets: int, bits: int = 64, extra: np.ndarray | None = None, more: bytes = b"") -> list[tuple]:
@@ -116,7 +116,8 @@ def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndar
     """(chunk, bucket, reply) for each request row.
 
     answer(keys, extra, row, more) sees a whole bucket: all keys, their extra numbers, the index of
-    the request row each came from, and that row's more; it gives a number for each key."""
+    the request row each came from, and that row's more; it gives a number for each key, or that and
+    a list of sums, which go into a row of chunk -1."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk", kind="stable").reset_index(drop=True)
@@ -127,8 +128,11 @@ def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndar
         extra = np.concatenate([unpack(b) if len(b) else np.zeros(m, np.uint64) for b, m in zip(g["extra"], n)])
         row = np.repeat(np.arange(len(g), dtype=np.int32), n)
         got = answer(keys, extra, row, list(g["more"]))
-        cuts = np.cumsum(n)[:-1]
-        return pd.DataFrame({"chunk": g["chunk"], "bucket": g["bucket"], "reply": [pack(x) for x in np.split(got, cuts)]})
+        got, sums = got if isinstance(got, tuple) else (got, None)
+        rows = [(c, b, pack(x), None) for c, b, x in zip(g["chunk"], g["bucket"], np.split(got, np.cumsum(n)[:-1]))]
+        if sums is not None:
+            rows.append((-1, int(g["bucket"].iloc[0]), b"", sums))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "reply", "sums"])
 
     return asked.groupBy("bucket").applyInPandas(run, REPLY)
 

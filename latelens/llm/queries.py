@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .chat import op9_chat_formatting
+from .jaccard import op4_ngram_jaccard
+from .lm import op2_lm_scoring
 from .mixing import op1_mixing
 from .pii import op10_pii
 from .quality import op6_quality_rules
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op9_chat_formatting": op9_chat_formatting,
