@@ -29,8 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     What was shuffled for it isn't needed any more; a collection of the driver's garbage lets Spark
     remove those files now rather than some time later."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    jvm, out = df.sparkSession.sparkContext._jvm, df.checkpoint(eager=True)
+    del df
+    jvm.System.gc()
     return out
 
 

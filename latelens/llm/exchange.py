@@ -45,10 +45,12 @@ def power_of_two(n: float) -> int:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers as byte planes, without the planes that are all zero."""
+    """Non-negative integers as byte planes, without the planes that are all zero, or as bits."""
     x = np.ascontiguousarray(x, dtype="<u8")
     if not len(x):
         return b""
+    if x.max() <= 1:
+        return bytes([0, -len(x) % 8]) + np.packbits(x.astype(np.uint8)).tobytes()
     planes = x.view(np.uint8).reshape(-1, 8).T
     n = 8
     while n > 1 and not planes[n - 1].any():
@@ -59,6 +61,9 @@ def pack(x: np.ndarray) -> bytes:
 def unpack(b: bytes, dtype=np.uint64) -> np.ndarray:
     if not b:
         return np.zeros(0, dtype)
+    if b[0] == 0:
+        bits = np.unpackbits(np.frombuffer(b, np.uint8, offset=2))
+        return bits[: len(bits) - b[1]].astype(dtype)
     n, raw = b[0], np.frombuffer(b, np.uint8, offset=1)
     m = len(raw) // n
     out = np.zeros((m, 8), np.uint8)
@@ -94,30 +99,29 @@ def bounds(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-REQUEST = "chunk long, bucket long, keys binary, extra binary, more binary"
+REQUEST = "chunk long, bucket long, keys binary, extra binary"
 REPLY = "chunk long, bucket long, reply binary, sums array<long>"
 
 
-def requests(chunk: int, keys: np.ndarray, buckets: int, bits: int = 64, extra: np.ndarray | None = None, more: bytes = b"") -> list[tuple]:
+def requests(chunk: int, keys: np.ndarray, extra: np.ndarray, buckets: int, bits: int = 64) -> list[tuple]:
     """Rows that ask about sorted distinct keys of so many bits, with one extra number each."""
     at, rows = bounds(keys, buckets, bits), []
     low = U((1 << bits) // buckets - 1)
     for b in np.flatnonzero(at[1:] > at[:-1]):
         own = slice(at[b], at[b + 1])
-        rows.append((chunk, int(b), pack_sorted(keys[own] & low), b"" if extra is None else pack(extra[own]), more))
+        rows.append((chunk, int(b), pack_sorted(keys[own] & low), pack(extra[own])))
     return rows
 
 
 def as_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "extra", "more"])
+    return pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "extra"])
 
 
-def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray, list], np.ndarray]) -> DataFrame:
+def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(chunk, bucket, reply) for each request row.
 
-    answer(keys, extra, row, more) sees a whole bucket: all keys, their extra numbers, the index of
-    the request row each came from, and that row's more; it gives a number for each key, or that and
-    a list of sums, which go into a row of chunk -1."""
+    answer(keys, extra) sees a whole bucket: all keys that chunks asked about, and their extra
+    numbers; it gives a number for each, or that and a list of sums, which go into a row of chunk -1."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk", kind="stable").reset_index(drop=True)
@@ -125,9 +129,7 @@ def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndar
         n = [len(p) for p in parts]
         keys = np.concatenate(parts)
         del parts
-        extra = np.concatenate([unpack(b) if len(b) else np.zeros(m, np.uint64) for b, m in zip(g["extra"], n)])
-        row = np.repeat(np.arange(len(g), dtype=np.int32), n)
-        got = answer(keys, extra, row, list(g["more"]))
+        got = answer(keys, np.concatenate([unpack(b) for b in g["extra"]]))
         got, sums = got if isinstance(got, tuple) else (got, None)
         rows = [(c, b, pack(x), None) for c, b, x in zip(g["chunk"], g["bucket"], np.split(got, np.cumsum(n)[:-1]))]
         if sums is not None:

@@ -106,9 +106,9 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def ask(key, g: pd.DataFrame) -> pd.DataFrame:
         keys, count = _keys([shingle_set(t, shingle) for *_, t in _merged(g)])
-        return as_frame(requests(int(key[0]), keys, buckets, BITS, count.astype(np.uint64)))
+        return as_frame(requests(int(key[0]), keys, count.astype(np.uint64), buckets, BITS))
 
-    def total_count(keys, extra, row, more):
+    def total_count(keys, extra):
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])

@@ -106,9 +106,9 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_fold: int = 2, b
         marks[np.searchsorted(every[first], single)] = 1
         # twice the training count, plus one for unigrams
         extra = np.add.reduceat(weight.astype(np.uint64), first) * np.uint64(2) + marks
-        return as_frame(requests(int(key[0]), every[first], buckets, 64, extra))
+        return as_frame(requests(int(key[0]), every[first], extra, buckets))
 
-    def total_count(keys, extra, row, more):
+    def total_count(keys, extra):
         at = np.argsort(keys, kind="stable")
         k = keys[at]
         first = np.concatenate([[True], k[1:] != k[:-1]])

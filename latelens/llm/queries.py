@@ -9,10 +9,12 @@ from .lm import op2_lm_scoring
 from .mixing import op1_mixing
 from .pii import op10_pii
 from .quality import op6_quality_rules
+from .suffix import op3_suffix_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
