@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .chat import op9_chat_formatting
+from .embed import op5_embedding_near_dedup
+from .html import op8_html_extraction
 from .jaccard import op4_ngram_jaccard
 from .lm import op2_lm_scoring
 from .mixing import op1_mixing
@@ -16,8 +18,10 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_pii": op10_pii,
 }
