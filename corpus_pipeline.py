@@ -1,10 +1,86 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return
+the columns of documents. Rows of equal doc_id count as one document in the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from latelens.llm.bpe import default_path, encode
+from latelens.llm.common import WORD, cut, table
+from latelens.llm.jaccard import jaccard_groups
+from latelens.llm.mixing import mixed_rows
+from latelens.llm.pii import pseudonymise
+from latelens.llm.quality import quality_rules
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """docs' columns with another text and its length."""
+    d = docs.withColumn("text", F.col(text))
+    if "n_chars" in columns:
+        d = d.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return d.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules keep, without the lines that failed."""
+    return _with_text(quality_rules(docs).where("kept"), docs.columns, "clean_text")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word similarity of 0.8 or more: the one of least doc_id.
+
+    A null doc_id stays unless its text links with a named document."""
+    groups = cut(jaccard_groups(docs.select("doc_id", "text"), shingle=5, percent=80))
+    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    first = Window.partitionBy("__id").orderBy(F.length("text").desc(), F.xxhash64("text"))
+    named = docs.join(stays, docs["doc_id"] == stays["__id"]).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    unnamed = docs.where("doc_id is null")
+    if groups.where("doc_id is null and component_id is not null").limit(1).count():
+        # texts of null ids are compared with the named ones again, by a name for each row
+        given = unnamed.withColumn("__id", F.abs(F.xxhash64("text")) * F.lit(-1) - 1)
+        both = given.select(F.col("__id").alias("doc_id"), "text").unionByName(named.select("doc_id", "text"))
+        linked = jaccard_groups(both, shingle=5, percent=80)
+        named_too = linked.groupBy("component_id").agg(F.max("doc_id").alias("most")).where("most >= 0")
+        gone = linked.join(named_too, "component_id").where("doc_id < 0").select(F.col("doc_id").alias("__id")).distinct()
+        unnamed = given.join(gone, "__id", "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*columns).unionByName(unnamed.select(*columns))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal data."""
+    return _with_text(pseudonymise(docs), docs.columns, "text")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in as many copies as the mix of sources takes."""
+    return mixed_rows(docs, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row."""
+    return encode(docs, default_path())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", pii),
+    ("mixing sources", mixing),
+    ("BPE encoding", bpe),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = cut(docs)
+    return docs

@@ -64,9 +64,9 @@ class Weights:
     ended: int = 4
     links: int = 24
     bare: int = 3
-    order_edge: int = 8
-    order_edge_apart: int = 2
-    dom_edge: int = 5
+    order_edge: int = 4
+    order_edge_apart: int = 1
+    dom_edge: int = 3
 
 
 @dataclass(slots=True)

@@ -157,6 +157,27 @@ def cube(d: DataFrame, seed: str = "mix-1") -> DataFrame:
     return done.withColumn("copies", (F.col("__sure") + F.round("__p")).cast("long")).drop("__sure", "__p", "__block")
 
 
+def mixed_rows(docs: DataFrame, size: Column, **options) -> DataFrame:
+    """The mix itself: docs' rows, each as often as it is taken.
+
+    Rows are told apart by their content. Equal rows share what they were dealt: each is repeated by
+    the whole part, and one of them by the rest too."""
+    columns = docs.columns
+    d = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    light = d.select(F.col("__key").alias("doc_id"), "source", size.cast("long").alias("__size"))
+    dealt = cube(with_targets(light, F.col("__size"), **options).select("doc_id", "source", "size", "__sure", "__p"))
+    dealt = cut(dealt.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__m")))
+    each = F.floor(F.col("__c") / F.col("__m")).cast("int")
+    joined = d.join(dealt.where("__c > 0"), "__key")
+    out = joined.where(each > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), each)))
+    rest = dealt.where("__m > 1 and __c % __m > 0")
+    if rest.limit(1).count():
+        one = d.join(rest, "__key").groupBy("__key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__row"), F.first(F.col("__c") % F.col("__m")).cast("int").alias("__r"))
+        one = one.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__r")))).select("__row.*")
+        return out.select(*[F.col(f"`{c}`") for c in columns]).unionByName(one)
+    return out.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def op1_mixing(spark, sf_dir):
     from .common import table
 
