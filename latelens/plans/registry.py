@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "fixed_wait_records"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
