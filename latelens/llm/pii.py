@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,9 +36,7 @@ def permuted(x: int, size: int, kind: str, key: bytes) -> int:
     """The image of x under a keyed permutation of range(size).
 
     Unbalanced Feistel rounds over a*b >= size; values outside the domain are walked on."""
-    a = max(2, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = max(2, isqrt(size - 1) + 1)
     b = -(-size // a)
     while True:
         left, right = divmod(x, b)
