@@ -326,11 +326,12 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages' columns but the html, with text and n_chars."""
     kept = pages.drop("text", "n_chars")
     rest = kept.drop(column)
+    own = rest.columns
     schema = ", ".join([f"`{c}` {t}" for c, t in rest.dtypes] + ["text string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[rest.columns].copy()
+            out = b[own].copy()
             out["text"] = [main_text(x) for x in b[column]]
             yield out
 
