@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +25,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: How often the bridge to the driver's JVM lets go of objects that Python has dropped.
+DETACH_SECONDS = 1.1
+
+
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """df with its lineage cut by an eager checkpoint in the shared folder.
 
-    What was shuffled for it isn't needed any more; a collection of the driver's garbage lets Spark
-    remove those files now rather than some time later."""
+    What was shuffled for it isn't needed any more, but stays on disk until the driver collects its
+    garbage; after large shuffles release lets Spark remove those files now."""
     checkpoint_dir(df.sparkSession)
-    jvm, out = df.sparkSession.sparkContext._jvm, df.checkpoint(eager=True)
+    spark, out = df.sparkSession, df.checkpoint(eager=True)
     del df
-    jvm.System.gc()
+    if release:
+        spark.range(1).count()  # listeners hold the last plan until they see another
+        gc.collect()
+        time.sleep(DETACH_SECONDS)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -40,5 +51,14 @@ def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def id_text(c: str = "doc_id"):
+    """An integer id as text: pandas would turn a column with nulls into floats."""
+    return F.col(c).cast("long").cast("string").alias(c)
+
+
+def parsed(i) -> int | None:
+    return None if i is None else int(i)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
