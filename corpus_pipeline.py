@@ -17,17 +17,17 @@ from latelens.llm.pii import pseudonymise
 from latelens.llm.quality import quality_rules
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """docs' columns with another text and its length."""
-    d = docs.withColumn("text", F.col(text))
-    if "n_chars" in columns:
-        d = d.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return d.select(*[F.col(f"`{c}`") for c in columns])
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules keep, without the lines that failed; other columns stay."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    d = quality_rules(docs.select(F.struct(*columns).alias("__row"), "text")).where("kept")
+    return d.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]).transform(_sized(docs))
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules keep, without the lines that failed."""
-    return _with_text(quality_rules(docs).where("kept"), docs.columns, "clean_text")
+def _sized(docs: DataFrame):
+    """Sets n_chars, where there is one, to the text's length."""
+    kind = dict(docs.dtypes).get("n_chars")
+    return lambda d: d if kind is None else d.withColumn("n_chars", F.length("text").cast(kind))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data."""
-    return _with_text(pseudonymise(docs), docs.columns, "text")
+    return pseudonymise(docs, counts=False).transform(_sized(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries in each of the two generations of a worker's store.
@@ -258,7 +259,7 @@ def loaded(path: str) -> WordBpe:
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", full: bool = False) -> DataFrame:
     """Per row: the key, n_tokens, ids_sha256, decoded_sha256, and with full the ids and decoding."""
-    fields = [df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields = [T.StructField(key, T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if full:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
@@ -274,7 +275,8 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", fu
             out.insert(0, key, b[key])
             yield out
 
-    return df.select(key, text).mapInPandas(run, T.StructType(fields))
+    out = df.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, T.StructType(fields))
+    return out.withColumn(key, F.col(key).cast(df.schema[key].dataType))
 
 
 def default_path() -> str:

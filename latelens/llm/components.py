@@ -7,6 +7,7 @@ their rows can be split; lineage is cut by checkpoints in the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,18 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Links that join what the links (a, b) join, at most n - 1."""
+    label = np.arange(n)
+    while True:  # the least label spreads, with shortcuts
+        m = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, m)
+        np.minimum.at(new, b, m)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(n))]

@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from .common import cut, id_text, parsed
+from .components import components, forest
 
 #: Vectors that centroids are fitted on; vectors in a cell aimed at; most cells; cells that a vector visits.
 SAMPLE, CELL, MOST_CELLS, VISITS = 20_000, 1_000, 4_096, 4
@@ -67,38 +67,23 @@ def fitted(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that join what the links (a, b) join, at most n - 1."""
-    label = np.arange(n)
-    while True:  # the least label spreads, with shortcuts
-        m = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, m)
-        np.minimum.at(new, b, m)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(n))]
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, visits: int = VISITS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"vec_id": b["vec_id"].astype("Int64"), "name": [name_of(v) for v in b["embedding"]]})
+            yield pd.DataFrame({"vec_id": b["vec_id"], "name": [name_of(v) for v in b["embedding"]]})
 
     def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = pd.DataFrame({"rep": b["vec_id"].astype("Int64"), "name": [name_of(v) for v in b["embedding"]], "v": b["embedding"]})
+            d = pd.DataFrame({"rep": pd.array([parsed(i) for i in b["vec_id"]], "Int64"), "name": [name_of(v) for v in b["embedding"]], "v": b["embedding"]})
             g = d[d["name"].notna()].groupby("name", sort=False)
             out = g.agg(rep=("rep", "min"), k=("name", "size"), v=("v", "first")).reset_index()
             yield out[["name", "rep", "k", "v"]]
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    named = rows.mapInPandas(names, "vec_id long, name string")
+    rows = vectors.select(id_text("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    named = rows.mapInPandas(names, "vec_id string, name string").withColumn("vec_id", F.col("vec_id").cast("long"))
     parts = rows.mapInPandas(collapse, "name string, rep long, k long, v array<double>")
     classes = cut(parts.groupBy("name").agg(F.min("rep").alias("rep"), F.sum("k").alias("k"), F.first("v").alias("v")))
     lengths = [(r["d"], r["n"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(1_000).collect()]
@@ -144,7 +129,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, visits: int = VISIT
         a, b = a[own], b[own]
         links = np.bincount(a, weights=k[b], minlength=len(g)) + np.bincount(b, weights=k[a], minlength=len(g))
         name = g["name"].to_numpy()
-        to = {i: name[r] for i, r in _forest(a, b, len(g))} if len(a) else {}
+        to = {i: name[r] for i, r in forest(a, b, len(g))} if len(a) else {}
         out = [(name[i], int(links[i]), to.get(i)) for i in np.flatnonzero(links > 0)]
         return pd.DataFrame(out, columns=["name", "links", "to"])
 

@@ -21,9 +21,10 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Element names of the language by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -325,17 +326,16 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages' columns but the html, with text and n_chars."""
     kept = pages.drop("text", "n_chars")
-    rest = kept.drop(column)
-    own = rest.columns
-    schema = ", ".join([f"`{c}` {t}" for c, t in rest.dtypes] + ["text string"])
+    at = kept.columns.index(column)
+    fields = kept.schema.fields
+    schema = T.StructType([*fields[:at], *fields[at + 1 :], T.StructField("text", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = b[own].copy()
-            out["text"] = [main_text(x) for x in b[column]]
-            yield out
+            columns = [*b.columns[:at], *b.columns[at + 1 :], pa.array([main_text(x) for x in b.column(at).to_pylist()], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInPandas(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_html_extraction(spark, sf_dir):

@@ -127,6 +127,8 @@ def cube(d: DataFrame, seed: str = "mix-1") -> DataFrame:
 
     Each level deals rows to (source, block), flies, and sends on the open rows alone; rows that are
     decided leave with their level."""
+    id_type = dict(d.dtypes)["doc_id"]
+    d = d.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids with nulls into floats
     total = d.count()
     blocks = max(1, -(-total // BLOCK))
     key = F.xxhash64("doc_id", "source", "size")
@@ -154,7 +156,7 @@ def cube(d: DataFrame, seed: str = "mix-1") -> DataFrame:
             break
         blocks = max(1, -(-blocks // FAN))
         d = flown.where((F.col("__p") > 0) & (F.col("__p") < 1)).withColumn("__block", F.pmod(F.col("__block"), F.lit(blocks)))
-    return done.withColumn("copies", (F.col("__sure") + F.round("__p")).cast("long")).drop("__sure", "__p", "__block")
+    return done.withColumn("copies", (F.col("__sure") + F.round("__p")).cast("long")).withColumn("doc_id", F.col("doc_id").cast(id_type)).drop("__sure", "__p", "__block")
 
 
 def mixed_rows(docs: DataFrame, size: Column, **options) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -223,20 +223,27 @@ def pseudonymised(text: str, key: str = KEY) -> tuple[str, list[str]]:
     return "".join(out) + text[at:], [x[3] for x in sorted(kept)]
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """df with its text pseudonymised, n_pii (long) and pii_kinds (array of strings)."""
-    kept = df.drop("n_pii", "pii_kinds")
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_pii", T.LongType()), T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
+def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, counts: bool = True) -> DataFrame:
+    """df with its text pseudonymised, n_pii (long) and pii_kinds (array of strings).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [(None, []) if x is None else pseudonymised(x, key) for x in b[text]]
-            b[text] = pd.Series([x[0] for x in made], index=b.index, dtype=object)
-            b["n_pii"] = pd.Series([len(x[1]) for x in made], index=b.index, dtype="int64")
-            b["pii_kinds"] = pd.Series([x[1] for x in made], index=b.index, dtype=object)
-            yield b
+    Without counts the columns are df's own. Other columns pass as they are, in Arrow batches."""
+    kept = df.drop("n_pii", "pii_kinds") if counts else df
+    added = [T.StructField("n_pii", T.LongType()), T.StructField("pii_kinds", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*kept.schema.fields, *(added if counts else [])])
+    place = kept.columns.index(text)
 
-    return kept.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(None, []) if x is None else pseudonymised(x, key) for x in b.column(place).to_pylist()]
+            columns = list(b.columns)
+            columns[place] = pa.array([x[0] for x in made], b.schema.field(place).type)
+            names = b.schema.names
+            if counts:
+                columns += [pa.array([len(x[1]) for x in made], pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.string()))]
+                names = [*names, "n_pii", "pii_kinds"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def op10_pii(spark, sf_dir):
