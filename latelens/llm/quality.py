@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, ascii_lower
 
 #: Phrases of lines that are part of a site, not of a text.
 BOILERPLATE = (
@@ -24,8 +24,11 @@ BOILERPLATE = (
     "use of cookies", "uses cookies", "lorem ipsum", "javascript is disabled", "enable javascript", "sign in to",
     "log in to", "subscribe to our newsletter", "click here to", "skip to content", "back to top", "share on facebook",
 )
-SEPARATORS = r"(?:\s[|»›·•]\s)|(?:^[|»›·•]\s)|(?:\s[|»›·•]$)"
-ENDS = r"[.!?…\"'”’»)\]:;]\s*$"
+SPACE = r"[\x20\x09-\x0D]"
+SEPARATORS = rf"{SPACE}[|»›·•]{SPACE}"
+ENDS = rf"[.!?…\"'”’»)\]:;]{SPACE}*\z"
+#: A word that ends in a doubled mark, and the space after it.
+DOUBLED = rf"[!?#*$%&|<>]{{2,}}{SPACE}"
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,8 @@ class LineRules:
     """min_words, max_repeat_percent: of the whole document. max_lost_percent: of the characters in
     words that removed lines may hold. max_separators: in one line. short_words: a line with fewer
     words and no closing mark, among other lines, counts as navigation. max_symbol_percent: symbols
-    against words. max_mark_words_percent: of a line's words that end in a doubled mark."""
+    against words. max_shout_percent: of a line's words that end in a doubled mark. max_phrase_words: in
+    a line that a boilerplate phrase condemns."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -43,6 +47,7 @@ class LineRules:
     long_unclosed_words: int = 200
     max_symbol_percent: int = 10
     max_shout_percent: int = 50
+    max_phrase_words: int = 25
 
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -81,15 +86,15 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def line_fails(line: Column, rules: LineRules) -> Column:
     """True where a line is navigation, boilerplate, shouting or lacks any closing mark."""
-    low = F.lower(line)
+    low, spaced = ascii_lower(line), F.concat(F.lit(" "), line, F.lit(" "))
     n = F.regexp_count(line, F.lit(WORD))
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | low.contains(p)
-    nav = F.regexp_count(line, F.lit(SEPARATORS)) > rules.max_separators
-    doubled = F.regexp_count(line, F.lit(r"[!?#*$%&|<>]{2,}(?=[\x20\x09-\x0D]|$)")) * 100 > n * rules.max_shout_percent
+    nav = F.regexp_count(spaced, F.lit(SEPARATORS)) > rules.max_separators
+    doubled = F.regexp_count(spaced, F.lit(DOUBLED)) * 100 > n * rules.max_shout_percent
     bare = ~line.rlike(ENDS) & ((n < rules.short_words) | (n > rules.long_unclosed_words))
-    return (phrase & (n < 25)) | nav | (doubled & (n >= 3)) | bare
+    return (phrase & (n < rules.max_phrase_words)) | nav | (doubled & (n > 2)) | bare
 
 
 def cleaned(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -122,3 +127,27 @@ def op6_quality_rules(spark, sf_dir):
 
     d = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", "n_lines_removed")
+
+
+def oracle() -> str:
+    """The query in SQL."""
+    r, q = LineRules(), lambda x: x.replace("'", "''")
+    phrase = " or ".join(f"contains(low, '{q(p)}')" for p in BOILERPLATE)
+    return rf"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '{WORD}') as ws from t),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from w, unnest(range(1, len(ws) - 1)) as x(i) where len(ws) >= 3),
+c as (select doc_id, i, count(*) over (partition by doc_id, g) as c from g),
+rep as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from c where c > 1) group by doc_id),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as x from t),
+n as (select doc_id, x, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, len(regexp_extract_all(x, '{WORD}')) as n from lines),
+j as (select *, n > 0 and (((({phrase})) and n < {r.max_phrase_words}) or len(regexp_extract_all(' ' || x || ' ', '{SEPARATORS}')) > {r.max_separators}
+    or (len(regexp_extract_all(' ' || x || ' ', '{DOUBLED}')) * 100 > n * {r.max_shout_percent} and n > 2)
+    or (not regexp_matches(x, '{q(ENDS)}') and (n < {r.short_words} or n > {r.long_unclosed_words}))) as bad from n),
+l as (select doc_id, count(*) filter (n > 0) - count(distinct x) filter (n > 0) as dup, count(*) filter (bad) as removed,
+    coalesce(sum(length(regexp_replace(x, '{SPACE}+', '', 'g'))) filter (bad), 0) as lost from j group by doc_id),
+k as (select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '{SPACE}+', '', 'g')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+    l.dup as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, l.lost, l.removed from w join l on l.doc_id = w.doc_id left join rep on rep.doc_id = w.doc_id),
+f as (select *, n_words < {r.min_words} or 100 * n_repeat_words > {r.max_repeat_percent} * n_words as base_failed from k)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not (base_failed or lost * 100 > word_chars * {r.max_lost_percent} or n_symbols * 100 > n_words * {r.max_symbol_percent}) as kept, lost::bigint as lost_chars, removed::bigint as n_lines_removed from f"""
