@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_text, parsed
 from .exchange import REQUEST, answered, as_frame, joined, mixed, power_of_two, replies_of, requests, text_bytes
 
 WINDOW = 50
@@ -36,7 +36,7 @@ SAMPLE = WINDOW - PERIOD + 1
 #: Bits of a sample rank in requests; a clash only keeps a suffix in the sort.
 BITS = 48
 CHUNK_BYTES, BUCKET_KEYS, GROUP_BYTES = 4 << 20, 1 << 20, 1 << 16
-CHUNKED = "chunk long, name string, ids array<long>, text string"
+CHUNKED = "chunk long, name string, ids array<string>, text string"
 FIRST = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -67,59 +67,57 @@ class Texts:
             while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_BYTES):
                 size += len(texts[end])
                 end += 1
-            self.groups.append((at, end))
+            own = texts[at:end]
+            self.groups.append((at, end, np.cumsum([0, *map(len, own)])))
             at = end
 
-    def buffers(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Per group: its first and last text, their bytes, and where each text begins."""
-        for a, b in self.groups:
+    def _hashed(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per group: names of 16 bytes, and places, texts and names of its sample suffixes."""
+        for a, b, starts in self.groups:
             own = self.texts[a:b]
-            yield a, b, np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
-
-    @staticmethod
-    def _sample(own: list[bytes], starts: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = [covered(len(t)) + s for t, s in zip(own, starts)]
-        place = np.concatenate(at)
-        h = named(buf, 4)
-        return place, np.repeat(np.arange(len(own)), [len(x) for x in at]), joined(h[place], h[place + SAMPLE - 16]) >> np.uint64(64 - BITS)
+            at = [covered(len(t)) + s for t, s in zip(own, starts)]
+            place = np.concatenate(at)
+            h = named(np.frombuffer(b"".join(own), np.uint8), 4)
+            owner = np.repeat(np.arange(a, b), [len(x) for x in at])
+            yield h, place, owner, joined(h[place], h[place + SAMPLE - 16]) >> np.uint64(64 - BITS)
 
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct sample names, and 1 or, where several texts have it, 2."""
-        keys, owner = [], []
-        for a, b, buf, starts in self.buffers():
-            _, t, k = self._sample(self.texts[a:b], starts, buf)
-            keys.append(k)
-            owner.append(t + a)
-        k, t = np.concatenate(keys), np.concatenate(owner)
-        order = np.argsort(k, kind="stable")
-        k, t = k[order], t[order]
+        parts = [(t, k) for _, _, t, k in self._hashed()]
+        t, k = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        if len(self.texts) <= 1 << (64 - BITS):  # name and text in one number: a plain sort
+            both = np.sort(k << np.uint64(64 - BITS) | t.astype(np.uint64))
+            k, t = both >> np.uint64(64 - BITS), both & np.uint64((1 << (64 - BITS)) - 1)
+        else:
+            order = np.argsort(k, kind="stable")
+            k, t = k[order], t[order]
         same = k[1:] == k[:-1]
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         apart = np.concatenate([[False], same & (t[1:] != t[:-1])])
         return k[first], 1 + np.logical_or.reduceat(apart, first).astype(np.uint64)
 
-    def candidates(self, shared: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    def candidates(self, shared: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Per group: its texts, where they begin, positions of suffixes that may tie, and their names.
 
-        shared: the sample names, sorted, that several texts have."""
-        for a, b, buf, starts in self.buffers():
-            own = self.texts[a:b]
-            place, _, k = self._sample(own, starts, buf)
-            i = np.searchsorted(shared, k)
-            i[i == len(shared)] = 0
-            hit = place[shared[i] == k] if len(shared) else place[:0]
+        shared: for each distinct sample name in order, whether several texts have it."""
+        hashed = list(self._hashed())
+        _, _, run = _runs(np.concatenate([k for *_, k in hashed]))
+        hit_all, at, out = shared[run], 0, []
+        for (a, b, starts), (h, place, _, k) in zip(self.groups, hashed):
+            hit, at = place[hit_all[at : at + len(k)]], at + len(k)
             if not len(hit):
-                yield a, b, starts, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                out.append((a, b, starts, np.zeros(0, np.int64), np.zeros(0, np.uint64)))
                 continue
-            mark = np.zeros(len(buf) + PERIOD + 1, np.int32)
+            mark = np.zeros(starts[-1] + PERIOD + 1, np.int32)
             np.add.at(mark, np.maximum(hit - PERIOD + 1, 0), 1)
-            np.add.at(mark, hit + 1, -1)
-            may = np.cumsum(mark)[: len(buf)] > 0
-            for t, s in zip(own, starts):  # no window crosses the end of its text
-                may[max(s, s + len(t) - WINDOW + 1) : s + len(t)] = False
-            at = np.flatnonzero(may)
-            h = named(buf, 5)
-            yield a, b, starts, at, joined(h[at], h[at + WINDOW - 32])
+            mark[hit + 1] -= 1  # places are distinct
+            may = np.cumsum(mark)[: starts[-1]] > 0
+            for s, e in zip(starts, starts[1:]):  # no window crosses the end of its text
+                may[max(s, e - WINDOW + 1) : e] = False
+            i = np.flatnonzero(may)
+            x = joined(joined(h[i], h[i + 16]), joined(h[i + 18], h[i + 34]))
+            out.append((a, b, starts, i, x))
+        return out
 
 
 def _read(g: pd.DataFrame) -> tuple[list[tuple[str, list, bytes]], list[int], Texts]:
@@ -127,11 +125,11 @@ def _read(g: pd.DataFrame) -> tuple[list[tuple[str, list, bytes]], list[int], Te
     seen: dict[str, tuple[str, list, bytes]] = {}
     for name, ids, text in zip(g["name"], g["ids"], g["text"]):
         if name in seen:
-            seen[name][1].extend(ids)
+            seen[name][1].extend(map(parsed, ids))
         else:
-            seen[name] = (name, list(ids), (text or "").encode())
+            seen[name] = (name, [parsed(i) for i in ids], (text or "").encode())
     every = [seen[k] for k in sorted(seen)]
-    part = [(min(i for i in ids if not pd.isna(i)), t) for _, ids, t in every if len(t) >= WINDOW and not all(pd.isna(i) for i in ids)]
+    part = [(min(i for i in ids if i is not None), t) for _, ids, t in every if len(t) >= WINDOW and any(i is not None for i in ids)]
     return every, [i for i, _ in part], Texts([t for _, t in part])
 
 
@@ -146,7 +144,7 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorting order, starts of the runs of ties in it, and each key's run."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     first = np.concatenate([[True], k[1:] != k[:-1]])
     run = np.empty(len(keys), np.int64)
@@ -167,15 +165,17 @@ def _taken(keys, extra):
     return (ids > np.minimum.reduceat(ids[order], first)[run]).astype(np.uint64)
 
 
-def _windows(texts: Texts, ids: list[int], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """Distinct names of the suffixes that may tie with their smallest ids, and the groups' finds."""
-    finds = list(texts.candidates(shared))
-    own = [np.asarray(ids, np.int64)[a + np.searchsorted(starts, at, side="right") - 1] if len(at) else np.zeros(0, np.int64) for a, _, starts, at, _ in finds]
-    names = np.concatenate([x for *_, x in finds])
+def _windows(texts: Texts, ids: list[int], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Distinct names of the suffixes that may tie, their smallest ids, each suffix's place among
+    these names, and the groups' finds with the suffixes' own ids."""
+    finds = texts.candidates(shared)
+    ids = np.asarray(ids, np.int64)
+    finds = [(*f, ids[f[0] + np.searchsorted(f[2], f[3], side="right") - 1]) for f in finds]
+    names, own = np.concatenate([f[4] for f in finds]), np.concatenate([f[5] for f in finds])
     if not len(names):
-        return names, np.zeros(0, np.int64), [(*f, o) for f, o in zip(finds, own)]
-    order, first, _ = _runs(names)
-    return names[order][first], np.minimum.reduceat(np.concatenate(own)[order], first), [(*f, o) for f, o in zip(finds, own)]
+        return names, own, own, finds
+    order, first, run = _runs(names)
+    return names[order][first], np.minimum.reduceat(own[order], first), run, finds
 
 
 def _runs_of(cover: np.ndarray) -> list[tuple[int, int]]:
@@ -195,14 +195,13 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
             seen: dict[str, list] = {}
             for i, t in zip(b["doc_id"], b["text"]):
                 name = hashlib.blake2b((t or "").encode(), digest_size=12).hexdigest()
-                i = None if pd.isna(i) else int(i)
                 if name in seen:
                     seen[name][2].append(i)
                 else:
                     seen[name] = [int(name[:8], 16) % chunks, name, [i], t]
             yield pd.DataFrame(list(seen.values()), columns=["chunk", "name", "ids", "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(collapse, CHUNKED)
+    rows = docs.select(id_text(), "text").mapInPandas(collapse, CHUNKED)
 
     def ask_sample(key, g: pd.DataFrame) -> pd.DataFrame:
         _, ids, texts = _read(g)
@@ -211,37 +210,33 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
     def _pair(x):
         return x if x is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def shared_of(texts: Texts, r: pd.DataFrame) -> np.ndarray:
-        keys, _ = texts.sample()
-        return keys[replies_of(r) > 0]
-
     def ask_windows(key, g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         _, ids, texts = _read(g)
         if not ids:
             return as_frame([])
-        names, least, _ = _windows(texts, ids, shared_of(texts, r))
+        names, least, *_ = _windows(texts, ids, replies_of(r) > 0)
         return as_frame(requests(int(key[0]), names, _signed(least), window_buckets, 64))
 
     def removed(key, g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         every, ids, texts = _read(g)
         covers: list[np.ndarray | None] = [None] * len(ids)
         if ids:
-            names, least, finds = _windows(texts, ids, shared_of(texts, r[r["phase"] == 1]))
-            other = replies_of(r[r["phase"] == 2])
-            for a, b, starts, at, x, own in finds:
+            names, least, run, finds = _windows(texts, ids, replies_of(r[r["phase"] == 1]) > 0)
+            other, done = replies_of(r[r["phase"] == 2]) > 0, 0
+            for a, b, starts, at, _, own in finds:
                 if not len(at):
                     continue
-                i = np.searchsorted(names, x)
-                gone = at[(other[i] > 0) | (least[i] < own)]
+                i, done = run[done : done + len(at)], done + len(at)
+                gone = at[other[i] | (least[i] < own)]
                 mark = np.zeros(starts[-1] + 1, np.int32)
                 mark[gone] += 1  # positions are distinct
-                np.add.at(mark, gone + WINDOW, -1)
+                mark[gone + WINDOW] -= 1
                 cover = np.cumsum(mark) > 0
                 for k in range(a, b):
                     covers[k] = cover[starts[k - a] : starts[k - a + 1]]
         out, k = [], 0
         for _, own, t in every:
-            n, known = len(t), [i for i in own if not pd.isna(i)]
+            n, known = len(t), [i for i in own if i is not None]
             cover = None
             if n >= WINDOW and known:
                 cover, k = covers[k], k + 1
@@ -249,21 +244,23 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
             kept = np.frombuffer(t, np.uint8)[~cover].tobytes() if spans else t
             whole, none, cut_ = hashlib.sha256(t).hexdigest(), hashlib.sha256(b"").hexdigest(), hashlib.sha256(kept).hexdigest()
             for i in own:
-                if pd.isna(i):
+                if i is None:
                     row = [None, n, 0, 0, whole, [], t]
                 elif n >= WINDOW and i > min(known):
                     row = [i, n, n, 1, none, [(0, n)], b""]
                 else:
                     row = [i, n, sum(y - x for x, y in spans), len(spans), cut_, spans, kept]
                 out.append(row if full else row[:5])
-        return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+        d = pd.DataFrame(out, columns=columns)
+        d["doc_id"] = pd.array([r[0] for r in out], "Int64")
+        return d
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     result += ", spans array<struct<start:long,end:long>>, kept binary" if full else ""
     columns = [x.split(" ")[0] for x in result.replace("struct<start:long,end:long>", "s").split(", ")]
-    sample = cut(answered(rows.groupBy("chunk").applyInPandas(ask_sample, REQUEST), _ranked))
+    sample = cut(answered(rows.groupBy("chunk").applyInPandas(ask_sample, REQUEST), _ranked), release=True)
     asked = rows.groupBy("chunk").cogroup(sample.groupBy("chunk")).applyInPandas(ask_windows, REQUEST)
-    windows = cut(answered(asked, _taken))
+    windows = cut(answered(asked, _taken), release=True)
     replies = sample.withColumn("phase", F.lit(1)).unionByName(windows.withColumn("phase", F.lit(2)))
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(removed, result)
 
