@@ -655,3 +655,74 @@ def ordered_digest(spark, sf_dir):
 @query("compute_fields", "select o_orderstatus, round(sum(o_totalprice), 2) as o_totalprice, max(o_custkey) as o_custkey from orders group by 1")
 def compute_fields(spark, sf_dir):
     return protocol.compute_fields(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_totalprice"], ["o_custkey"]).withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+# ---- stores, plans and learners ------------------------------------------------------------------------
+
+
+@query("truth_checks", "select 0::bigint as wrong_label, 0::bigint as unknown_click, 0::bigint as unequal_time, 0::bigint as wrong_delay")
+def truth_checks(spark, sf_dir):
+    from latelens.operators import checks
+
+    t = truth(spark, sf_dir)
+    both = [checks.truth_part(p, t, 1 - i, MATURITY, 0.0) for i, p in enumerate(features.route_truth(t))]
+    return protocol.union_all(both).agg(*[F.sum(c).alias(c) for c in both[0].columns])
+
+
+@query("missing_days", f"with {CLICKS_SQL} select cast(d as int) as click_day from range(0, 41) r(d) where d not in (select click_day from truth)")
+def missing_days(spark, sf_dir):
+    from latelens.operators import checks
+
+    return checks.missing_days(with_day(click_log(spark, sf_dir)), 0, 40)
+
+
+@query("ledger_checks", f"with {CLICKS_SQL}, r as ({_fixed('fixed_wait')} union all select click_id, available_at, 'FINAL', 1.0, 'x' from truth where click_id % 5 = 0 union all select click_id, available_at, 'FINAL', 1.0, 'x' from truth where click_id % 10 = 0), g as (select click_id, kind, count(*) as n, max(available_at) as t from r group by 1, 2) select sum(n - 1)::bigint as repeated, count(*) filter (t > (select min(click_time) + {20 * DAY} from clicks)) as future from g")
+def ledger_checks(spark, sf_dir):
+    from latelens.operators import checks
+
+    t = truth(spark, sf_dir)
+    extra = strategies.mature_outcome(t)
+    r = protocol.union_all([strategies.fixed_wait(t, WAIT), extra.where("click_id % 5 = 0"), extra.where("click_id % 10 = 0")])
+    return checks.ledger(r, origin(t) + 20 * DAY)
+
+
+@query("final_matrix", "select study, method, s::int as seed from (values ('a', 'complete_wait'), ('a', 'immediate_fake_negative'), ('a', 'fixed_wait'), ('a', 'dfm'), ('a', 'fnw'), ('a', 'es_dfm'), ('a', 'oracle_reference'), ('b', 'early'), ('b', 'midpoint'), ('b', 'deadline'), ('b', 'drift'), ('offline', 'logistic'), ('offline', 'boosted')) m(study, method), (values (17), (29), (43)) x(s)")
+def final_matrix(spark, sf_dir):
+    from latelens.plans.experiments import final_matrix as made
+
+    return made(spark)
+
+
+@query("training_budget", f"with {CLICKS_SQL}, r as ({_fixed('fixed_wait')}) select d::int as credit_id, count(*) as legal, (count(*) * 4)::bigint as examples from r, range(5, 10) x(d) where available_at <= (select min(click_time) from clicks) + d * {DAY} group by 1")
+def training_budget(spark, sf_dir):
+    t = truth(spark, sf_dir)
+    start = origin(t)
+    days = F.explode(F.sequence(F.greatest(F.lit(5), F.ceil((F.col("available_at") - start) / DAY).cast("int")), F.lit(9)))
+    r = strategies.fixed_wait(t, WAIT).where(F.col("available_at") <= start + 9 * DAY)
+    return r.select(days.alias("credit_id")).groupBy("credit_id").agg(F.count("*").alias("legal"), (F.count("*") * 4).alias("examples"))
+
+
+@query("synthetic_predictions")
+def synthetic_predictions(spark, sf_dir):
+    from latelens.plans.simulate import synthetic
+
+    return synthetic(spark)["predictions"]
+
+
+@query("study_b_decisions")
+def study_b_decisions(spark, sf_dir):
+    from latelens.plans.simulate import study_b
+
+    return protocol.union_all([d.select("window_id", "day", "spend", "reason").withColumn("policy", F.lit(p)) for p, d in study_b(spark).items()])
+
+
+@query("logistic_reference")
+def logistic_reference(spark, sf_dir):
+    """A standardised logistic regression on mature clicks, scored on the later ones."""
+    from latelens.operators import learners
+
+    d = features.prior_counts(with_day(truth(spark, sf_dir)), {"user": "user_id", "product": "product"})
+    d = d.withColumn("log_price", F.log1p("price")).withColumn("log_user", F.log1p("prior_user_clicks"))
+    train, later = features.mature_split(d, origin(d) + 15 * DAY, MATURITY)
+    model = learners.logistic_reference(train, ["log_price", "log_user"])
+    return learners.scored(model, later).select("click_id", "final_label", "probability")
