@@ -1,15 +1,16 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-Rows of the incidence matrix are distinct shingle sets (copies collapse first), columns are shingles
+Rows of the incidence matrix are distinct sequences of words (copies collapse first), columns are shingles
 with their document frequency. Two rows with similarity of at least t share one of the rarest
 n - ceil(t n) + 1 columns of each; columns that a single row has drop out. Products are then formed
-block by block: first every row against one hub of each of its columns, and, after rows that proved
-linked have been joined into groups, between rows of different groups that still share a column.
-Pairs whose sizes, or whose places in the shared column, can't reach the bound are discarded
-before their overlap is accumulated; what remains is counted exactly on whole sets.
+block by block: first every row against the hub of its columns, where sizes and places in the shared
+column let it reach the bound, and, after rows that proved linked have been joined into groups,
+between a hub's rows and those outside its largest group. Overlaps are accumulated over slices of
+columns on whole sets, so every link is counted exactly; a block gives back a spanning forest of its
+links.
 
 Defined cases: null or empty texts (and texts of white space) have no shingles and link with
-nothing; a text with fewer words than a shingle has one shingle; rows with equal sets are one class
+nothing; a text with fewer words than a shingle has one shingle; rows with equal words are one class
 and all linked; a null doc_id takes part as a text but gives its group no name (a group of null ids
 has a null component); an empty table gives an empty result; other columns are ignored.
 """
@@ -24,18 +25,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from .common import cut, id_text, parsed
+from .components import components, forest
 from .exchange import REQUEST, answered, as_frame, mixed, power_of_two, replies_of, requests, text_bytes
-from .shingles import shingle_set
+from .shingles import shingle_set, words
 
 #: Text in a chunk, keys in a bucket, rows in a block of the product.
 CHUNK_BYTES, BUCKET_KEYS, BLOCK = 4 << 20, 1 << 20, 256
+#: Shingles in a block of rows, and columns in a slice of the product.
+BLOCK_SHINGLES, SLICE = 400_000, 2_048
 #: Bits of the keys that column frequencies are counted by; a clash only makes a column look less rare.
 BITS = 48
 COUNT_CAP = 65_535
-CHUNKED = "chunk long, node string, n long, ids array<long>, text string"
-CLASSES = "node string, n long, ids array<long>, cols array<long>, at array<int>, text string"
+CHUNKED = "chunk long, node string, ids array<string>, text string"
+CLASSES = "node string, n long, n_own long, ids array<long>, cols array<long>, at array<int>, text string"
 
 
 def needed(n: int, percent: int) -> int:
@@ -43,38 +46,37 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def set_name(s: np.ndarray) -> str:
-    return hashlib.blake2b(s.tobytes(), digest_size=12).hexdigest()
+def word_name(ws: list[bytes]) -> str:
+    """A name of a text's words; '' for none."""
+    return hashlib.blake2b(b" ".join(ws), digest_size=12).hexdigest() if ws else ""
 
 
-def _chunked(docs: DataFrame, shingle: int, chunks: int) -> DataFrame:
-    """One row for each batch and distinct set, with the ids of its documents."""
+def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
+    """One row for each batch and distinct sequence of words, with the ids of its documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: dict[str, list] = {}
             for i, t in zip(b["doc_id"], b["text"]):
-                s = shingle_set(t, shingle)
-                name = set_name(s) if len(s) else ""
+                name = word_name(words(t))
                 if name in seen:
-                    seen[name][3].append(i)
+                    seen[name][2].append(i)
                 else:
-                    seen[name] = [int(name[:8], 16) % chunks if name else -1, name, len(s), [i], t if name else None]
-            rows = [[c, n, k, [None if pd.isna(i) else int(i) for i in ids], t] for c, n, k, ids, t in seen.values()]
-            yield pd.DataFrame(rows, columns=["chunk", "node", "n", "ids", "text"])
+                    seen[name] = [int(name[:8] or "0", 16) % chunks, name, [i], t if name else None]
+            yield pd.DataFrame(list(seen.values()), columns=["chunk", "node", "ids", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, CHUNKED)
+    return docs.select(id_text(), "text").mapInPandas(run, CHUNKED)
 
 
 def _merged(g: pd.DataFrame) -> list[list]:
-    """The classes of a chunk: node, n, ids, text."""
+    """The classes of a chunk: node, ids, text."""
     seen: dict[str, list] = {}
-    for node, n, ids, text in zip(g["node"], g["n"], g["ids"], g["text"]):
+    for node, ids, text in zip(g["node"], g["ids"], g["text"]):
         if node in seen:
-            seen[node][2].extend(ids)
+            seen[node][1].extend(map(parsed, ids))
         else:
-            seen[node] = [node, n, list(ids), text]
-    return sorted(seen.values())
+            seen[node] = [node, [parsed(i) for i in ids], text]
+    return sorted(seen.values(), key=lambda x: x[0])
 
 
 def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +96,13 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, n, ids, cols, at, text): a row for each distinct set and batch of ids.
+    """(node, n, n_own, ids, cols, at, text): a row for each distinct sequence of words.
 
-    cols are the prefix columns that another set has too, at their places in the set's order of
-    rarity; the text is kept where there are any. The empty set's node is ''."""
+    n_own counts the shingles of no other row; cols are the prefix columns that another row has too, at their places in the set's order of
+    rarity; the text is kept where there are any. The node of texts without words is ''."""
     total = text_bytes(docs)
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), power_of_two(total / 6 / BUCKET_KEYS)
-    rows = _chunked(docs, shingle, chunks)
-    empty = rows.where("node = ''").select("node", "n", "ids", F.array().cast("array<long>").alias("cols"), F.array().cast("array<int>").alias("at"), "text")
-    rows = rows.where("node <> ''")
+    rows = _chunked(docs, chunks)
 
     def ask(key, g: pd.DataFrame) -> pd.DataFrame:
         keys, count = _keys([shingle_set(t, shingle) for *_, t in _merged(g)])
@@ -118,46 +118,53 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         return out
 
     def prefixes(key, g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(g):
-            return pd.DataFrame([], columns=["node", "n", "ids", "cols", "at", "text"])
         merged = _merged(g)
         sets = [shingle_set(t, shingle) for *_, t in merged]
         keys, _ = _keys(sets)
         counts, out = replies_of(r), []
-        for (node, n, ids, text), s in zip(merged, sets):
-            c = counts[np.searchsorted(keys, s >> np.uint64(64 - BITS))]
-            order = np.lexsort((mixed(s), c))[: n - needed(n, percent) + 1]
-            at = np.flatnonzero(c[order] > 1)
-            cols = s[order[at]].view(np.int64)
-            out.append([node, n, ids, cols.tolist(), at.tolist(), text if len(cols) else None])
-        return pd.DataFrame(out, columns=["node", "n", "ids", "cols", "at", "text"])
+        for (node, ids, text), s in zip(merged, sets):
+            n, cols, at = len(s), [], []
+            long = n - needed(n, percent) + 1
+            c = counts[np.searchsorted(keys, s >> np.uint64(64 - BITS))] if n else np.zeros(0, np.uint64)
+            n_own = int((c == 1).sum())
+            if n_own < min(long, n):
+                # by frequency, then by scrambled name; s ascends, so a stable sort breaks ties alike everywhere
+                order = np.argsort(c << np.uint64(48) | mixed(s) >> np.uint64(16), kind="stable")[:long]
+                shown = np.flatnonzero(c[order] > 1)
+                cols, at = s[order[shown]].view(np.int64).tolist(), shown.tolist()
+            out.append([node, n, n_own, ids, cols, at, text if cols else None])
+        return pd.DataFrame(out, columns=["node", "n", "n_own", "ids", "cols", "at", "text"])
 
     replies = answered(rows.groupBy("chunk").applyInPandas(ask, REQUEST), total_count)
-    found = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(prefixes, CLASSES)
-    return found.unionByName(empty)
+    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(prefixes, CLASSES)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs(u, v) whose sets truly link: blocks of rows u against one row v each."""
+    """The pairs(u, v) whose sets truly link: blocks of rows u against one row v each.
+
+    A block's row v comes first in its sorted run, so a task holds one set beside the one it reads."""
     load = pairs.groupBy("v").agg(F.count("*").alias("k"))
     placed = pairs.join(load, "v").withColumn("blk", F.pmod(F.xxhash64("u"), F.ceil(F.col("k") / BLOCK)))
     t = texts.select("node", "text")
     left = placed.join(t.withColumnRenamed("node", "u"), "u").select("v", "blk", "u", "text")
     right = placed.select("v", "blk").distinct().join(t.withColumnRenamed("node", "v"), "v").select("v", "blk", F.lit("").alias("u"), "text")
 
-    def product(g: pd.DataFrame) -> pd.DataFrame:
-        v = g["v"].iloc[0]
-        one = shingle_set(g["text"][g["u"] == ""].iloc[0], shingle)
-        out = []
-        for u, text in zip(g["u"], g["text"]):
-            if u:
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = np.zeros(0, np.uint64)
+        for b in batches:
+            out = []
+            for v, u, text in zip(b["v"], b["u"], b["text"]):
                 s = shingle_set(text, shingle)
+                if not u:
+                    one = s
+                    continue
                 both = _overlap(s, one)
                 if 100 * both >= percent * (len(s) + len(one) - both):
                     out.append((u, v))
-        return pd.DataFrame(out, columns=["u", "v"])
+            yield pd.DataFrame(out, columns=["u", "v"])
 
-    return left.unionByName(right).groupBy("v", "blk").applyInPandas(product, "u string, v string")
+    blocks = left.unionByName(right).repartition("v", "blk").sortWithinPartitions("v", "blk", "u")
+    return blocks.mapInPandas(product, "u string, v string")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -170,46 +177,76 @@ def _reach(na, ia, nb, ib, percent: int):
     return (100 + percent) * most >= percent * (na + nb)
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of two blocks of sets: their incidence product, summed over slices of columns."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = (np.concatenate(x) for x in (left, right))
+    columns = np.intersect1d(a, b)
+    flat = []
+    for sets, v in ((left, a), (right, b)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(columns, v)
+        at[at == len(columns)] = 0
+        both = columns[at] == v if len(columns) else np.zeros(len(v), bool)
+        order = np.argsort(at[both], kind="stable")
+        flat.append((row[both][order], at[both][order]))
+    for begin in range(0, len(columns), SLICE):
+        parts = []
+        for (row, at), n in zip(flat, out.shape):
+            i, j = np.searchsorted(at, [begin, begin + SLICE])
+            m = np.zeros((n, min(SLICE, len(columns) - begin)), np.float32)
+            m[row[i:j], at[i:j] - begin] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that link with another class."""
+    """(node, root) of the classes that link with another class.
+
+    A column's hub is the row in it with the least part of shingles of its own: of many edited copies,
+    the least edited one. Rows that share a column share its hub, so blocks by hub hold all pairs."""
     texts = found.where(F.col("text").isNotNull()).select("node", "text")
-    posts = found.where(F.size("cols") > 0).select("node", "n", F.explode(F.arrays_zip("cols", "at")).alias("x")).select("node", "n", F.col("x.cols").alias("col"), F.col("x.at").alias("at"))
-    hubs = posts.groupBy("col").agg(F.min(F.struct("node", "n", "at")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    star = posts.join(hubs, "col").where((F.col("node") != F.col("h.node")) & _sizes_fit("n", "h.n", percent) & _reach(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at"), percent))
-    star = cut(star.select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct())
+    posts = found.where(F.size("cols") > 0).select("node", "n", (F.col("n_own") / F.col("n")).alias("own"), F.explode(F.arrays_zip("cols", "at")).alias("x"))
+    posts = posts.select("node", "n", "own", F.col("x.cols").alias("col"), F.col("x.at").alias("at"))
+    hubs = posts.groupBy("col").agg(F.min(F.struct("own", "node", "n", "at")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    both = posts.join(hubs, "col")
+    may = (F.col("node") != F.col("h.node")) & _sizes_fit("n", "h.n", percent) & _reach(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at"), percent)
+    members = cut(both.groupBy(F.col("h.node").alias("hub"), "node").agg(F.first("n").alias("n"), F.min(F.when(may, F.struct(F.col("h.own").alias("own"), F.col("h.node").alias("v")))).alias("best")))
+    star = members.groupBy(F.col("node").alias("u")).agg(F.min("best").alias("b")).where("b is not null").select("u", F.col("b.v").alias("v"))
     links = cut(verified(star, texts, shingle, percent))
     groups = cut(components(links))
-    # what shares a column and isn't known to be one group
-    open_ = posts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = open_.groupBy("col").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("k")).where("a <> b")
-    open_ = cut(open_.join(split.select("col", "k"), "col"))
-    tiles = F.ceil(F.col("k") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    placed = open_.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    placed = placed.select("col", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", "n", "at", "root")
+    # hubs whose rows aren't known to be one group: all rows against those outside the largest one
+    open_ = members.select("hub", "node", "n").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = open_.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    split = roots.groupBy("hub").agg(F.max(F.struct("c", "root", "n")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
+    split = split.select("hub", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_SHINGLES).cast("int").alias("p"), F.ceil(F.col("all") / (2 * BLOCK_SHINGLES)).cast("int").alias("q"))
+    open_ = open_.join(split, "hub")
+    h = F.xxhash64("node")
+    left = open_.where("root <> top").select("hub", F.pmod(h, "p").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(0).alias("side"), "node", "root")
+    right = open_.select("hub", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(h, "q").cast("int").alias("j"), F.lit(1).alias("side"), "node", "root")
+    placed = left.unionByName(right).join(texts, "node")
 
     def tile(g: pd.DataFrame) -> pd.DataFrame:
-        node, n, at, root = (g[c].to_numpy() for c in ("node", "n", "at", "root"))
-        out = []
-        for i in range(len(g) - 1):
-            m, o = n[i + 1 :], at[i + 1 :]
-            most = 1 + np.minimum(n[i] - at[i] - 1, m - o - 1)
-            ok = (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)) & ((100 + percent) * most >= percent * (n[i] + m)) & (root[i + 1 :] != root[i])
-            out += [(max(node[i], x), min(node[i], x)) for x in node[i + 1 :][ok]]
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    rest = placed.groupBy("col", "p", "q").applyInPandas(tile, "u string, v string").distinct()
-    rest = cut(rest.join(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    more = verified(rest, texts, shingle, percent)
+        sets = [shingle_set(t, shingle) for t in g["text"]]
+        a, b = (np.flatnonzero(g["side"] == k) for k in (0, 1))
+        if not len(a) or not len(b):
+            return pd.DataFrame([], columns=["u", "v"])
+        n, root, node = np.array([len(s) for s in sets], np.float32), pd.factorize(g["root"])[0], g["node"].to_numpy()
+        o = overlaps([sets[i] for i in a], [sets[i] for i in b])
+        x, y = np.nonzero((100 * o >= percent * (n[a][:, None] + n[b] - o)) & (root[a][:, None] != root[b]))
+        return pd.DataFrame([(node[i], node[j]) for i, j in forest(a[x], b[y], len(g))], columns=["u", "v"])
+
+    more = cut(placed.groupBy("hub", "i", "j").applyInPandas(tile, "u string, v string"))
     every = groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
     return components(every)
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
-    found = cut(classes(docs, shingle, percent))
+    found = cut(classes(docs, shingle, percent), release=True)
     roots = linked_classes(found, shingle, percent)
-    named = found.where("node <> ''").select("node", "n", F.array_min("ids").alias("rep"), "ids")
+    named = found.where("node <> ''").select("node", "n", F.array_min(F.filter("ids", lambda i: i.isNotNull())).alias("rep"), "ids")
     named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = named.join(least, "root").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")

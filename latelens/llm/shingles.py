@@ -9,7 +9,7 @@ import numpy as np
 from .exchange import joined, mixed
 
 #: Entries of a worker's word table before it starts anew.
-STORE = 400_000
+STORE = 150_000
 _table: dict[bytes, int] = {}
 
 
