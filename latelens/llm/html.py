@@ -38,12 +38,14 @@ AWAY = frozenset("nav footer aside form menu".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
 #: Words in class and id names.
 AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|sidebar|side|aside|rail|footer|foot|header|masthead|topbar|breadcrumb|breadcrumbs|crumbs|ad|ads|adv|advert|adverts|advertisement|adsense|banner|promo|promos|promotion|"
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|sidebar|aside|rail|footer|header|masthead|topbar|breadcrumb|breadcrumbs|crumbs|ad|ads|adv|advert|adverts|advertisement|adsense|banner|promo|promos|promotion|"
     r"sponsor|sponsored|sponsors|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|signin|register|share|sharing|social|related|recommended|recommendations|more-?stories|"
-    r"comment|comments|commentlist|disqus|reply|replies|respond|responses|discussion|search|toolbar|widget|widgets|pagination|pager|paging|tags|tagcloud|skip|copyright|legal|disclaimer|outbrain|taboola|toc)(?=$|[\s_-]|\d)",
+    r"comment|comments|commentlist|disqus|reply|replies|respond|responses|discussion|search|toolbar|widget|widgets|pagination|pager|paging|tags|tagcloud|skip|copyright|disclaimer|outbrain|taboola|toc)(?=$|[\s_-]|\d)",
     re.I,
 )
 HOME_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|blog|page-?content|maincontent|post-?body|article-?body|hentry)(?=$|[\s_-]|\d)", re.I)
+#: Names in which those words say something else: a text's own head, or that its page has a frame.
+OWN_NAMES = re.compile(r"(?:article|post|entry|story|content|text)[_-]{1,2}(?:header|head|title|tags)|(?:has|have|with|no|without)[_-][\w-]+|(?:header|menu|footer|sidebar)[_-](?:fixed|left|right|open|closed|enabled|layout)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -113,6 +115,7 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     if tag in ("article", "main"):
         e.article = True
     if named and tag not in ("html", "body"):
+        named = OWN_NAMES.sub(" ", named) if AWAY_NAMES.search(named) else named
         if AWAY_NAMES.search(named) and not (tag in ("article", "main") and HOME_NAMES.search(named)):
             e.away = True
         elif HOME_NAMES.search(named):

@@ -371,6 +371,13 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_names_that_mislead():
+    page = """<body class="has-cookie-banner"><div class="layout with-sidebar"><div id="main-menu"><a href=/>Home</a></div><div class="entry-content">
+    <div class="article-header"><h1>The title</h1></div><p>A paragraph of the text, which ends here.</p><p class="notice">This site moves soon.</p></div>
+    <div class="sidebar"><p>Popular this week, a longer list of things.</p></div><div class="comment-list"><p>I agree with all of it, well said.</p></div></div></body>"""
+    assert html.main_text(page) == "The title\n\nA paragraph of the text, which ends here."
+
+
 def brute_cut(n, source, sink, edges):
     best = None
     for bits in range(1 << n):
