@@ -46,6 +46,18 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
+#: Groups that one task of a grouped exchange should see at most.
+PER_TASK = 16
+
+
+def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """df dealt by keys to as many partitions as its number of groups wants, where the session's number
+    of shuffle partitions is too small for that; else as it is, and the grouping itself will deal it."""
+    have = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    want = -(-groups // PER_TASK)
+    return df.repartition(want, *keys) if want > have else df
+
+
 def ascii_lower(c):
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

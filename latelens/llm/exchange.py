@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt
+
 U = np.uint64
 C1, C2, C3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
@@ -117,7 +119,7 @@ def as_frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "extra"])
 
 
-def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def answered(asked: DataFrame, buckets: int, answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(chunk, bucket, reply) for each request row.
 
     answer(keys, extra) sees a whole bucket: all keys that chunks asked about, and their extra
@@ -136,7 +138,7 @@ def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.nda
             rows.append((-1, int(g["bucket"].iloc[0]), b"", sums))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "reply", "sums"])
 
-    return asked.groupBy("bucket").applyInPandas(run, REPLY)
+    return dealt(asked, buckets, "bucket").groupBy("bucket").applyInPandas(run, REPLY)
 
 
 def replies_of(g: pd.DataFrame) -> np.ndarray:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, parsed
+from .common import cut, dealt, id_text, parsed
 from .components import components, forest
 from .exchange import REQUEST, answered, as_frame, mixed, power_of_two, replies_of, requests, text_bytes
 from .shingles import shingle_set, words
@@ -102,7 +102,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     rarity; the text is kept where there are any. The node of texts without words is ''."""
     total = text_bytes(docs)
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), power_of_two(total / 6 / BUCKET_KEYS)
-    rows = _chunked(docs, chunks)
+    rows = dealt(_chunked(docs, chunks), chunks, "chunk")
 
     def ask(key, g: pd.DataFrame) -> pd.DataFrame:
         keys, count = _keys([shingle_set(t, shingle) for *_, t in _merged(g)])
@@ -135,7 +135,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             out.append([node, n, n_own, ids, cols, at, text if cols else None])
         return pd.DataFrame(out, columns=["node", "n", "n_own", "ids", "cols", "at", "text"])
 
-    replies = answered(rows.groupBy("chunk").applyInPandas(ask, REQUEST), total_count)
+    replies = answered(rows.groupBy("chunk").applyInPandas(ask, REQUEST), buckets, total_count)
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(prefixes, CLASSES)
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import cut, dealt, id_text
 from .exchange import REQUEST, answered, as_frame, distinct, joined, mixed, power_of_two, replies_of, requests, text_bytes
 from .shingles import names, words
 
@@ -88,6 +88,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_fold: int = 2, b
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), power_of_two(total / 5 / BUCKET_KEYS * (order / 2))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
     rows = docs.select(id_text(), "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    rows = dealt(rows, chunks, "chunk")
 
     def tokens_of(texts) -> tuple[np.ndarray, np.ndarray]:
         parts = [np.append(names(words(t)), END) for t in texts]
@@ -121,7 +122,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_fold: int = 2, b
         return out, [int((known > 0).sum()), int(known.sum())]
 
     asked = rows.groupBy("chunk").applyInPandas(ask, REQUEST)
-    replies = cut(answered(asked, total_count), release=True)
+    replies = cut(answered(asked, buckets, total_count), release=True)
     v, n = replies.where("chunk = -1").agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first()
     v, n = v or 0, n or 0
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, parsed
+from .common import cut, dealt, id_text, parsed
 from .exchange import REQUEST, answered, as_frame, joined, mixed, power_of_two, replies_of, requests, text_bytes
 
 WINDOW = 50
@@ -202,6 +202,7 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
             yield pd.DataFrame(list(seen.values()), columns=["chunk", "name", "ids", "text"])
 
     rows = docs.select(id_text(), "text").mapInPandas(collapse, CHUNKED)
+    rows = dealt(rows, chunks, "chunk")
 
     def ask_sample(key, g: pd.DataFrame) -> pd.DataFrame:
         _, ids, texts = _read(g)
@@ -258,9 +259,9 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     result += ", spans array<struct<start:long,end:long>>, kept binary" if full else ""
     columns = [x.split(" ")[0] for x in result.replace("struct<start:long,end:long>", "s").split(", ")]
-    sample = cut(answered(rows.groupBy("chunk").applyInPandas(ask_sample, REQUEST), _ranked), release=True)
+    sample = cut(answered(rows.groupBy("chunk").applyInPandas(ask_sample, REQUEST), sample_buckets, _ranked), release=True)
     asked = rows.groupBy("chunk").cogroup(sample.groupBy("chunk")).applyInPandas(ask_windows, REQUEST)
-    windows = cut(answered(asked, _taken), release=True)
+    windows = cut(answered(asked, window_buckets, _taken), release=True)
     replies = sample.withColumn("phase", F.lit(1)).unionByName(windows.withColumn("phase", F.lit(2)))
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(removed, result)
 

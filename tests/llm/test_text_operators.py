@@ -169,6 +169,16 @@ def test_repeats_against_brute_force(spark, sf, monkeypatch):
     assert repeats(suffix.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"))) == expected_repeats(docs_of(spark, sf))
 
 
+def test_many_groups_get_more_partitions(spark, sf, monkeypatch):
+    from latelens.llm import common
+
+    monkeypatch.setattr(common, "PER_TASK", 1)
+    d = spark.createDataFrame([(i, f"{i} " + "shared text of more than fifty bytes, which all of these have " * 2) for i in range(200)] + [(1000 + i, "x" * i) for i in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 2_000)
+    assert common.dealt(d, 100, "doc_id").rdd.getNumPartitions() == 100
+    assert repeats(suffix.remove_repeats(d)) == expected_repeats([(r.doc_id, r.text) for r in d.collect()])
+
+
 def test_repeats_at_every_shift(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
