@@ -27,7 +27,7 @@ from .common import WORD, cut
 #: Sources that a mix may have; their table is gathered, so more raise an error.
 MAX_SOURCES = 100_000
 #: Documents in a block of the first level, and blocks that meet in one block of the next.
-BLOCK, FAN = 20_000, 4_000
+BLOCK, FAN = 4_000, 4_000
 EPS = 1e-9
 
 
