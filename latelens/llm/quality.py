@@ -44,7 +44,6 @@ class LineRules:
     max_lost_percent: int = 30
     max_separators: int = 2
     short_words: int = 4
-    long_unclosed_words: int = 200
     max_symbol_percent: int = 10
     max_shout_percent: int = 50
     max_phrase_words: int = 25
@@ -93,7 +92,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         phrase = phrase | low.contains(p)
     nav = F.regexp_count(spaced, F.lit(SEPARATORS)) > rules.max_separators
     doubled = F.regexp_count(spaced, F.lit(DOUBLED)) * 100 > n * rules.max_shout_percent
-    bare = ~line.rlike(ENDS) & ((n < rules.short_words) | (n > rules.long_unclosed_words))
+    bare = ~line.rlike(ENDS) & (n < rules.short_words)
     return (phrase & (n < rules.max_phrase_words)) | nav | (doubled & (n > 2)) | bare
 
 
@@ -143,7 +142,7 @@ lines as (select doc_id, unnest(string_split(t, chr(10))) as x from t),
 n as (select doc_id, x, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, len(regexp_extract_all(x, '{WORD}')) as n from lines),
 j as (select *, n > 0 and (((({phrase})) and n < {r.max_phrase_words}) or len(regexp_extract_all(' ' || x || ' ', '{SEPARATORS}')) > {r.max_separators}
     or (len(regexp_extract_all(' ' || x || ' ', '{DOUBLED}')) * 100 > n * {r.max_shout_percent} and n > 2)
-    or (not regexp_matches(x, '{q(ENDS)}') and (n < {r.short_words} or n > {r.long_unclosed_words}))) as bad from n),
+    or (not regexp_matches(x, '{q(ENDS)}') and n < {r.short_words})) as bad from n),
 l as (select doc_id, count(*) filter (n > 0) - count(distinct x) filter (n > 0) as dup, count(*) filter (bad) as removed,
     coalesce(sum(length(regexp_replace(x, '{SPACE}+', '', 'g'))) filter (bad), 0) as lost from j group by doc_id),
 k as (select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '{SPACE}+', '', 'g')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
