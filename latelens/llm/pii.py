@@ -119,16 +119,28 @@ def _ip(s: str, key: bytes) -> str | None:
 FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
-def _date(s: str, key: bytes) -> str | None:
-    y, m, d = (s[:4], s[5:7], s[8:]) if s[4] in "-/." else (s[6:], s[3:5], s[:2])
+def _day(y: str, m: str, d: str) -> int | None:
     try:
-        day = dt.date(int(y), int(m), int(d)).toordinal()
+        n = dt.date(int(y), int(m), int(d)).toordinal()
     except ValueError:
         return None
-    if not FIRST <= day <= LAST:
+    return n if FIRST <= n <= LAST else None
+
+
+def _date(s: str, key: bytes) -> str | None:
+    """Year, day or month first; month first only where the day can't be a month, before and after."""
+    year_first = s[4] in "-/."
+    a, b, c = (s[:4], s[5:7], s[8:]) if year_first else (s[6:], s[3:5], s[:2])
+    layout, n = ("%Y%m%d" if year_first else "%d%m%Y"), _day(a, b, c)
+    if n is None and not year_first:
+        layout, n = "%m%d%Y", _day(a, c, b)
+    if n is None:
         return None
-    new = dt.date.fromordinal(FIRST + permuted(day - FIRST, LAST - FIRST + 1, "date", key))
-    return _relaid(s, new.strftime("%Y%m%d") if s[4] in "-/." else new.strftime("%d%m%Y"))
+    while True:
+        n = FIRST + permuted(n - FIRST, LAST - FIRST + 1, "date", key)
+        new = dt.date.fromordinal(n)
+        if layout != "%m%d%Y" or new.day > 12:
+            return _relaid(s, new.strftime(layout))
 
 
 def _iban(s: str, key: bytes) -> str | None:
