@@ -20,7 +20,9 @@ from latelens.llm.quality import quality_rules
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without the lines that failed; other columns stay."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    d = quality_rules(docs.select(F.struct(*columns).alias("__row"), "text")).where("kept")
+    d = quality_rules(docs.select(F.struct(*columns).alias("__row"), "text"))
+    # a generator holds the filter back: pushed down, it would repeat every rule where it is used
+    d = d.select(F.inline(F.array(F.struct("__row", "clean_text", "kept")))).where("kept")
     return d.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]).transform(_sized(docs))
 
 
