@@ -83,23 +83,27 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def seen_lines(text: Column) -> Column:
+    """A text's lines as array<struct<x, low, spaced, n>>: what the rules look at, made once per line."""
+    parts = lambda c: F.split(c, "\n", -1)
+    one = lambda x, low: F.struct(x.alias("x"), low.alias("low"), F.concat(F.lit(" "), x, F.lit(" ")).alias("spaced"), F.regexp_count(x, F.lit(WORD)).alias("n"))
+    return F.zip_with(parts(text), parts(ascii_lower(text)), one)
+
+
 def line_fails(line: Column, rules: LineRules) -> Column:
-    """True where a line is navigation, boilerplate, shouting or lacks any closing mark."""
-    low, spaced = ascii_lower(line), F.concat(F.lit(" "), line, F.lit(" "))
-    n = F.regexp_count(line, F.lit(WORD))
-    phrase = F.lit(False)
+    """True where a line of seen_lines is navigation, boilerplate, shouting or lacks any closing mark."""
+    n, phrase = line["n"], F.lit(False)
     for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
-    nav = F.regexp_count(spaced, F.lit(SEPARATORS)) > rules.max_separators
-    doubled = F.regexp_count(spaced, F.lit(DOUBLED)) * 100 > n * rules.max_shout_percent
-    bare = ~line.rlike(ENDS) & (n < rules.short_words)
-    return (phrase & (n < rules.max_phrase_words)) | nav | (doubled & (n > 2)) | bare
+        phrase = phrase | line["low"].contains(p)
+    nav = F.regexp_count(line["spaced"], F.lit(SEPARATORS)) > rules.max_separators
+    doubled = F.regexp_count(line["spaced"], F.lit(DOUBLED)) * 100 > n * rules.max_shout_percent
+    bare = (n < rules.short_words) & ~line["x"].rlike(ENDS)
+    return ((n < rules.max_phrase_words) & phrase) | bare | nav | ((n > 2) & doubled)
 
 
 def cleaned(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """df with clean_text (failing lines removed, null for null), lost_chars and n_lines_removed."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    judged = F.transform(lines, lambda x: F.struct(x.alias("x"), (x.rlike(WORD) & line_fails(x, rules)).alias("bad")))
+    judged = F.transform(seen_lines(F.coalesce(F.col(text), F.lit(""))), lambda z: F.struct(z["x"].alias("x"), ((z["n"] > 0) & line_fails(z, rules)).alias("bad")))
     d = df.withColumn("__j", judged)
     bad = F.filter("__j", lambda z: z["bad"])
     count = lambda z: F.length(F.translate(z["x"], " \t\n\x0b\x0c\r", ""))
