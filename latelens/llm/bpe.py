@@ -22,12 +22,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 #: Entries in each of the two generations of a worker's store.
 STORE = 250_000
 #: White space of the normaliser's pattern (the Unicode property); str.split() also cuts at 1C-1F.
@@ -248,6 +250,12 @@ class WordBpe:
     def encode(self, text: str) -> tuple[str, str, int]:
         return next(iter(self.encode_batch([text])))
 
+    def forget(self) -> None:
+        """Between tasks a worker keeps a small store only."""
+        self.older = {}
+        if len(self.stored) > STORE // 2:
+            self.stored = {}
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
@@ -263,19 +271,24 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", fu
     if full:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in fields]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             rows = []
-            for ids, decoded, n in bpe.encode_batch([x or "" for x in b[text]]):
-                row = (n, digest(ids), digest(decoded))
-                rows.append((*row, [int(i) for i in ids.split()], decoded) if full else row)
-            out = pd.DataFrame(rows, columns=[f.name for f in fields[1:]], index=b.index)
-            out.insert(0, key, b[key])
-            yield out
-
-    out = df.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, T.StructType(fields))
+            for at in range(0, len(b), TOGETHER):  # so many texts at a time are Python's
+                part = b.slice(at, TOGETHER)
+                for i, (ids, decoded, n) in zip(part.column(0).to_pylist(), bpe.encode_batch([x or "" for x in part.column(1).to_pylist()])):
+                    row = (i, n, digest(ids), digest(decoded))
+                    rows.append((*row, [int(x) for x in ids.split()], decoded) if full else row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(len(names))], names=names)
+        bpe.forget()
+        tidied(None)
+
+    out = df.select(F.col(key).cast("string").alias(key), text).mapInArrow(run, T.StructType(fields))
     return out.withColumn(key, F.col(key).cast(df.schema[key].dataType))
 
 

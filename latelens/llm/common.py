@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import time
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,15 @@ def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
     return df.repartition(want, *keys) if want > have else df
 
 
+def tidied(result):
+    """result, after the worker's allocators have given back what its task no longer uses: workers serve
+    one operator after another, and would else keep the most that each of them ever needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return result
+
+
 def ascii_lower(c):
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt
+from .common import dealt, tidied
 
 U = np.uint64
 C1, C2, C3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -116,7 +116,7 @@ def requests(chunk: int, keys: np.ndarray, extra: np.ndarray, buckets: int, bits
 
 
 def as_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "extra"])
+    return tidied(pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "extra"]))
 
 
 def answered(asked: DataFrame, buckets: int, answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -136,7 +136,7 @@ def answered(asked: DataFrame, buckets: int, answer: Callable[[np.ndarray, np.nd
         rows = [(c, b, pack(x), None) for c, b, x in zip(g["chunk"], g["bucket"], np.split(got, np.cumsum(n)[:-1]))]
         if sums is not None:
             rows.append((-1, int(g["bucket"].iloc[0]), b"", sums))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "reply", "sums"])
+        return tidied(pd.DataFrame(rows, columns=["chunk", "bucket", "reply", "sums"]))
 
     return dealt(asked, buckets, "bucket").groupBy("bucket").applyInPandas(run, REPLY)
 

@@ -25,15 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, id_text, parsed
+from .common import cut, dealt, id_text, parsed, tidied
 from .components import components, forest
 from .exchange import REQUEST, answered, as_frame, mixed, power_of_two, replies_of, requests, text_bytes
 from .shingles import shingle_set, words
 
 #: Text in a chunk, keys in a bucket, rows in a block of the product.
 CHUNK_BYTES, BUCKET_KEYS, BLOCK = 4 << 20, 1 << 20, 256
-#: Shingles in a block of rows, and columns in a slice of the product.
-BLOCK_SHINGLES, SLICE = 400_000, 2_048
+#: Shingles and rows in a block of the exact product, and columns in a slice of it.
+BLOCK_SHINGLES, BLOCK_ROWS, SLICE = 400_000, 1_024, 2_048
 #: Bits of the keys that column frequencies are counted by; a clash only makes a column look less rare.
 BITS = 48
 COUNT_CAP = 65_535
@@ -64,6 +64,7 @@ def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
                 else:
                     seen[name] = [int(name[:8] or "0", 16) % chunks, name, [i], t if name else None]
             yield pd.DataFrame(list(seen.values()), columns=["chunk", "node", "ids", "text"])
+        tidied(None)
 
     return docs.select(id_text(), "text").mapInPandas(run, CHUNKED)
 
@@ -133,7 +134,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 shown = np.flatnonzero(c[order] > 1)
                 cols, at = s[order[shown]].view(np.int64).tolist(), shown.tolist()
             out.append([node, n, n_own, ids, cols, at, text if cols else None])
-        return pd.DataFrame(out, columns=["node", "n", "n_own", "ids", "cols", "at", "text"])
+        return tidied(pd.DataFrame(out, columns=["node", "n", "n_own", "ids", "cols", "at", "text"]))
 
     replies = answered(rows.groupBy("chunk").applyInPandas(ask, REQUEST), buckets, total_count)
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(prefixes, CLASSES)
@@ -219,8 +220,9 @@ def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
     # hubs whose rows aren't known to be one group: all rows against those outside the largest one
     open_ = members.select("hub", "node", "n").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = open_.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    split = roots.groupBy("hub").agg(F.max(F.struct("c", "root", "n")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
-    split = split.select("hub", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK_SHINGLES).cast("int").alias("p"), F.ceil(F.col("all") / (2 * BLOCK_SHINGLES)).cast("int").alias("q"))
+    split = roots.groupBy("hub").agg(F.max(F.struct("c", "root", "n")).alias("top"), F.sum("n").alias("all"), F.sum("c").alias("rows"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda shingles, rows, k: F.ceil(F.greatest(shingles / (k * BLOCK_SHINGLES), rows / (k * BLOCK_ROWS))).cast("int")
+    split = split.select("hub", F.col("top.root").alias("top"), blocks(F.col("all") - F.col("top.n"), F.col("rows") - F.col("top.c"), 1).alias("p"), blocks(F.col("all"), F.col("rows"), 2).alias("q"))
     open_ = open_.join(split, "hub")
     h = F.xxhash64("node")
     left = open_.where("root <> top").select("hub", F.pmod(h, "p").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(0).alias("side"), "node", "root")
@@ -235,7 +237,7 @@ def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
         n, root, node = np.array([len(s) for s in sets], np.float32), pd.factorize(g["root"])[0], g["node"].to_numpy()
         o = overlaps([sets[i] for i in a], [sets[i] for i in b])
         x, y = np.nonzero((100 * o >= percent * (n[a][:, None] + n[b] - o)) & (root[a][:, None] != root[b]))
-        return pd.DataFrame([(node[i], node[j]) for i, j in forest(a[x], b[y], len(g))], columns=["u", "v"])
+        return tidied(pd.DataFrame([(node[i], node[j]) for i, j in forest(a[x], b[y], len(g))], columns=["u", "v"]))
 
     more = cut(placed.groupBy("hub", "i", "j").applyInPandas(tile, "u string, v string"))
     every = groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)

@@ -24,7 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidied
+
 KEY = "pseudonym-key-1"
+#: Texts of a batch that are Python's at a time.
+TOGETHER = 256
 ROUNDS = 8
 
 
@@ -246,7 +250,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, counts: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(None, []) if x is None else pseudonymised(x, key) for x in b.column(place).to_pylist()]
+            made = [(None, []) if x is None else pseudonymised(x, key) for at in range(0, len(b), TOGETHER) for x in b.column(place).slice(at, TOGETHER).to_pylist()]
             columns = list(b.columns)
             columns[place] = pa.array([x[0] for x in made], b.schema.field(place).type)
             names = b.schema.names
@@ -254,6 +258,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, counts: bool
                 columns += [pa.array([len(x[1]) for x in made], pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.string()))]
                 names = [*names, "n_pii", "pii_kinds"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        tidied(None)
 
     return kept.mapInArrow(run, schema)
 

@@ -245,7 +245,8 @@ def test_groups_against_brute_force(spark, sf, monkeypatch, n, percent):
 
 def test_chains_and_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 11)
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 2_000)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 13)
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
     docs = []
