@@ -6,6 +6,10 @@ pattern and check, and replaced by a keyed permutation of their own format: a Fe
 mixed-radix domain with cycle walking, so equal values get equal pseudonyms in every document, and
 different values stay different. Layout (separators, letter case, length) stays as it is.
 
+Cards, IBANs and international numbers can stand beside other digits or capital words: every length that
+their pattern admits is tried at every start. Of valid spans that overlap, those of a card brand's or
+a country's own length come first, then the longer, then the earlier ones. Finds of earlier kinds are never part of a later one's.
+
 Defined cases: a null text stays null with no finds; an empty text stays empty; repeated rows give
 equal rows; an empty table gives an empty result; texts are scanned whole; columns called n_pii or
 pii_kinds are replaced, all others are kept.
@@ -79,10 +83,19 @@ def _walk(d: str, kind: str, key: bytes, good: Callable[[str], bool]) -> str:
             return out
 
 
-def _card(s: str, key: bytes) -> str | None:
+#: First digits and lengths of the common card brands.
+BRANDS = re.compile(r"4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|6[0-9]{15,18}")
+
+
+def _card_ok(s: str) -> bool:
     d = _digits(s)
-    if not 13 <= len(d) <= 19 or d[0] not in "23456" or len(set(d)) == 1 or not luhn_ok(d):
+    return 13 <= len(d) <= 19 and d[0] in "23456" and len(set(d)) > 1 and luhn_ok(d)
+
+
+def _card(s: str, key: bytes) -> str | None:
+    if not _card_ok(s):
         return None
+    d = _digits(s)
     body = _walk(d[:-1], "card", key, lambda x: x[0] == d[0])
     return _relaid(s, next(body + c for c in "0123456789" if luhn_ok(body + c)))
 
@@ -95,10 +108,15 @@ def _phone(s: str, key: bytes) -> str | None:
     return _relaid(s, head + _walk(d, "phone", key, lambda x: x[0] not in "01"))
 
 
-def _intl(s: str, key: bytes) -> str | None:
+def _intl_ok(s: str) -> bool:
     d = _digits(s)
-    if not 9 <= len(d) <= 15 or d[0] == "0":
+    return 9 <= len(d) <= 15 and d[0] != "0"
+
+
+def _intl(s: str, key: bytes) -> str | None:
+    if not _intl_ok(s):
         return None
+    d = _digits(s)
     return _relaid(s, d[:2] + _walk(d[2:], "intl" + d[:2], key, lambda x: True))
 
 
@@ -147,13 +165,29 @@ def _date(s: str, key: bytes) -> str | None:
             return _relaid(s, new.strftime(layout))
 
 
-def _iban(s: str, key: bytes) -> str | None:
+#: Lengths of IBANs by country.
+COUNTRIES = frozenset(
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 "
+    "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 "
+    "PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()
+)
+
+
+def _number(s: str) -> int:
+    return int("".join(str(int(c, 36)) for c in s))
+
+
+def _iban_ok(s: str) -> bool:
     d = s.replace(" ", "")
-    number = lambda x: int("".join(str(int(c, 36)) for c in x))
-    if not 15 <= len(d) <= 34 or number(d[4:] + d[:4]) % 97 != 1:
+    return 15 <= len(d) <= 34 and _number(d[4:] + d[:4]) % 97 == 1
+
+
+def _iban(s: str, key: bytes) -> str | None:
+    if not _iban_ok(s):
         return None
+    d = s.replace(" ", "")
     body = _letters(d[4:], "iban", key)
-    check = 98 - number(body + d[:2] + "00") % 97
+    check = 98 - _number(body + d[:2] + "00") % 97
     it = iter(f"{d[:2]}{check:02d}{body}")
     return "".join(c if c == " " else next(it) for c in s)
 
@@ -210,6 +244,12 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("phone", r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", _phone),
     ("intl", r"(?<![0-9+])\+[1-9][0-9](?:[ -]?[0-9]){7,13}(?![0-9])", _intl),
 )
+#: Kinds whose pattern admits several lengths: what may not follow one, whether it holds, and whether it is of a known length.
+LENGTHS: dict[str, tuple[re.Pattern, Callable[[str], bool], Callable[[str], bool]]] = {
+    "iban": (re.compile(r"[A-Za-z0-9]"), _iban_ok, lambda s: f"{s[:2]}{len(s.replace(' ', ''))}" in COUNTRIES),
+    "card": (re.compile(r"[0-9]"), _card_ok, lambda s: BRANDS.fullmatch(_digits(s)) is not None),
+    "intl": (re.compile(r"[0-9]"), _intl_ok, lambda s: True),
+}
 #: What every find has; keys of letters alone are not told from words.
 HINT = re.compile(r"[0-9@]")
 
@@ -219,24 +259,49 @@ def _compiled():
     return [(k, re.compile(p), f) for k, p, f in KINDS]
 
 
+def _spans(text: str, kind: str, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """All spans that hold, of every length that the pattern admits at every start, the preferred ones first."""
+    follows, ok, known = LENGTHS[kind]
+    at, out = 0, []
+    while m := pattern.search(text, at):
+        start, at = m.start(), m.start() + 1
+        while m:
+            # a shorter match is made by an early end of the text, which hides what follows
+            if not follows.match(text, m.end()) and ok(m[0]):
+                out.append(m.span())
+            m = pattern.match(text, start, m.end() - 1)
+    return sorted(out, key=lambda x: (not known(text[slice(*x)]), x[0] - x[1], x[0]))
+
+
 def pseudonymised(text: str, key: str = KEY) -> tuple[str, list[str]]:
     """The text with pseudonyms for all finds, and the kinds found in order of place."""
     if not HINT.search(text):
         return text, []
-    k, found = key.encode(), []
-    for rank, (kind, pattern, made) in enumerate(_compiled()):
-        for m in pattern.finditer(text):
-            if (new := made(m[0], k)) is not None:
-                found.append((m.start(), rank, m.end(), kind, new))
-    kept: list = []
-    for x in sorted(found, key=lambda f: (f[1], f[0])):
-        if all(x[2] <= y[0] or y[2] <= x[0] for y in kept):
-            kept.append(x)
+    k = key.encode()
+    kept: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
+
+    def keep(start: int, end: int, kind: str, new: str) -> None:
+        kept.append((start, end, kind, new))
+        taken[start:end] = b"\1" * (end - start)
+
+    for kind, pattern, made in _compiled():
+        if kind in LENGTHS:
+            for start, end in _spans(text, kind, pattern):
+                if taken.find(1, start, end) < 0:
+                    keep(start, end, kind, made(text[start:end], k))
+            continue
+        at = 0
+        while m := pattern.search(text, at):
+            new = made(m[0], k) if taken.find(1, *m.span()) < 0 else None
+            if new is not None:
+                keep(*m.span(), kind, new)
+            at = m.start() + 1 if new is None else m.end()
     out, at = [], 0
-    for start, _, end, kind, new in sorted(kept):
+    for start, end, _, new in sorted(kept):
         out += [text[at:start], new]
         at = end
-    return "".join(out) + text[at:], [x[3] for x in sorted(kept)]
+    return "".join(out) + text[at:], [x[2] for x in sorted(kept)]
 
 
 def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, counts: bool = True) -> DataFrame:

@@ -354,6 +354,23 @@ def test_clean_texts_stay(text):
     assert pii.pseudonymised(text) == (text, [])
 
 
+CARD, IBAN = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+
+
+@pytest.mark.parametrize(
+    "value, before, after",
+    [(CARD, *x) for x in (("", " 12/26"), ("", " 123"), ("2024-05-01 ", ""), ("77 ", ""), ("77 ", " 12/26 123"), ("BE 12 ", " EUR 50"), ("123-45-6789 ", " 123-45-6789"))]
+    + [("4111-1111-1111-1111", "", " 123"), ("4111111111111111", "order 77 ", ""), ("4111111111111111", "2024 ", " 2024")]
+    + [(IBAN, *x) for x in (("", " EUR"), ("", " EUR 50"), ("", " FROM THE BANK"), ("", " EUROS"), ("EUR ", ""), ("AB12 ", " BIC"), ("AB12 CDEF ", " 1234"))]
+    + [("BE68539007547034", "AB12 ", " EUR"), ("+32 475 12 34 56", "", " 2024-05-01")],
+)
+def test_finds_beside_digits_and_words(value, before, after):
+    alone, kinds = pii.pseudonymised(value)
+    got, found = pii.pseudonymised(before + value + after)
+    assert len(kinds) == 1 and alone != value and kinds[0] in found
+    assert got[len(before) : len(before) + len(value)] == alone
+
+
 def test_pii_of_tables(spark, sf, odd, empty):
     r = pii.op10_pii(spark, sf).collect()
     want = {i: pii.pseudonymised(t) if t is not None else (None, []) for i, t in docs_of(spark, sf)}
