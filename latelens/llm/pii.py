@@ -2,7 +2,7 @@
 
 Validated numbers and dates (payment cards by Luhn, phone numbers, social security numbers, IPv4
 addresses, IBANs by their remainder, calendar dates), email addresses and access keys are found by
-pattern and check, and replaced by a keyed permutation of their own format: a Feistel network on a
+pattern and check (values of access keys at any length, up to dots that end them), and replaced by a keyed permutation of their own format: a Feistel network on a
 mixed-radix domain with cycle walking, so equal values get equal pseudonyms in every document, and
 different values stay different. Layout (separators, letter case, length) stays as it is.
 
@@ -196,8 +196,22 @@ def _iban(s: str, key: bytes) -> str | None:
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+#: Characters that are permuted at a time: half their domain has to lie well within the 128 bits of a round, else places stay in clear.
+WIDTH = 40
+
+
 def _letters(s: str, kind: str, key: bytes) -> str:
-    """Permutes s among all strings with the same class of character at every place."""
+    """Permutes s among all strings with the same class of character at every place.
+
+    A longer string is permuted block by block, each under a name of what stands before it."""
+    out, before = [_block(s[:WIDTH], kind, key)], hashlib.blake2b(key=key, digest_size=16)
+    for at in range(WIDTH, len(s), WIDTH):
+        before.update(s[at - WIDTH : at].encode())
+        out.append(_block(s[at : at + WIDTH], f"{kind}:{before.hexdigest()}", key))
+    return "".join(out)
+
+
+def _block(s: str, kind: str, key: bytes) -> str:
     places = [next((k for k in CLASSES if c in k), None) for c in s]
     size, x = 1, 0
     for c, k in zip(s, places):
@@ -234,8 +248,8 @@ def _assigned(s: str, key: bytes) -> str | None:
 #: (kind, pattern, pseudonym or None if the find doesn't hold); earlier kinds win where finds overlap.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|(?<![A-Za-z0-9])sk-[A-Za-z0-9]{32,64}(?![A-Za-z0-9])", _secret),
-    ("secret", r"(?<![A-Za-z0-9])(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Aa][Cc][Cc][Ee][Ss][Ss][_-]?[Tt][Oo][Kk][Ee][Nn]|[Tt][Oo][Kk][Ee][Nn]) ?[=:] ?[\"']?(?=[A-Za-z/+_.-]{0,64}[0-9])[A-Za-z0-9/+_-]{8,128}", _assigned),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|(?<![A-Za-z0-9])sk-[A-Za-z0-9]{32,}(?![A-Za-z0-9])", _secret),
+    ("secret", r"(?<![A-Za-z0-9])(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Aa][Cc][Cc][Ee][Ss][Ss][_-]?[Tt][Oo][Kk][Ee][Nn]|[Tt][Oo][Kk][Ee][Nn]) ?[=:] ?[\"']?(?=[A-Za-z/+_.-]*[0-9])[A-Za-z0-9/+_-][A-Za-z0-9/+_.-]{6,}[A-Za-z0-9/+_-]", _assigned),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
     ("date", r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])", _date),

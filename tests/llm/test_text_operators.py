@@ -371,6 +371,21 @@ def test_finds_beside_digits_and_words(value, before, after):
     assert got[len(before) : len(before) + len(value)] == alone
 
 
+@pytest.mark.parametrize("n", [8, 64, 65, 129, 1_000, 20_000])
+def test_secrets_of_any_length(n):
+    rng = random.Random(n)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n - 1)) + "7"
+    dotted = "".join("." if 0 < i < n - 1 and i % 37 == 5 else c for i, c in enumerate(letters))
+    for value, text in [(letters, f"token={letters}"), (dotted, f"see password: {dotted}. Next"), *([(letters, f"x sk-{letters} y")] if n >= 64 else [])]:
+        got, kinds = pii.pseudonymised(text)
+        assert kinds == ["secret"] and len(got) == len(text)
+        at = text.index(value)
+        assert got[:at] == text[:at] and got[at + n :] == text[at + n :]
+        assert all(got[i : i + 8] != text[i : i + 8] for i in range(at + 1, at + n - 8)) and [c == "." for c in got] == [c == "." for c in text]
+        other = pii.pseudonymised(text.replace(value, ("b" if value[0] == "a" else "a") + value[1:]))[0]
+        assert other != got and pii.pseudonymised(f"{text} {text}")[0] == f"{got} {got}"
+
+
 def test_pii_of_tables(spark, sf, odd, empty):
     r = pii.op10_pii(spark, sf).collect()
     want = {i: pii.pseudonymised(t) if t is not None else (None, []) for i, t in docs_of(spark, sf)}
