@@ -1,8 +1,7 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells.
 
 Equal vectors collapse first. Centroids are fitted on a bounded sample; every vector is then filed
-under its home cell and visits its next cells, so that a pair is seen where one of the two is at
-home. Large cells are cut into blocks and compared tile by tile. A tile gives back counts and a
+under its nearest cells, and a pair is counted in the least cell that both visit. Large cells are cut into blocks and compared tile by tile. A tile gives back counts and a
 spanning forest of its links, at most one link per vector, never all pairs.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components link with
@@ -121,11 +120,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, visits: int = VISIT
         a, b = left[a], right[b]
         if p == q:
             a, b = a[a < b], b[a < b]
-        # a pair counts in the lesser of its home cells where both are filed, else in the other
-        ha, hb = cells[a, 0], cells[b, 0]
-        low, high = np.minimum(ha, hb), np.maximum(ha, hb)
-        both_low = (cells[a] == low[:, None]).any(axis=1) & (cells[b] == low[:, None]).any(axis=1)
-        own = np.where(both_low, low, high) == cell
+        # a pair counts in the least cell that both visit
+        own = np.ones(len(a), bool)
+        for c in cells.T:
+            own &= (c[a] >= cell) | ~(cells[b] == c[a][:, None]).any(axis=1)
         a, b = a[own], b[own]
         links = np.bincount(a, weights=k[b], minlength=len(g)) + np.bincount(b, weights=k[a], minlength=len(g))
         name = g["name"].to_numpy()

@@ -56,6 +56,19 @@ def test_recall_over_cells_and_blocks(spark, monkeypatch):
     assert sum(x[1] for x in r) >= 0.9 * sum(x[1] for x in e) > 0 and all(x[1] <= y[1] for x, y in zip(r, e))
 
 
+def test_every_compared_link_counts(spark, monkeypatch):
+    monkeypatch.setattr(embed, "CELL", 5)
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(10, 6))
+    vs = c[rng.integers(0, 10, 600)] + rng.normal(size=(600, 6)) * 0.3
+    d = spark.createDataFrame(list(enumerate(vs.tolist())), "vec_id long, embedding array<double>")
+    x = embed.unit(vs)
+    cells = np.argsort(-(x @ embed.fitted(x[np.argsort([embed.name_of(v) for v in vs])], 120).T), axis=1, kind="stable")[:, : embed.VISITS]
+    meet = (cells[:, None, :, None] == cells[None, :, None, :]).any(axis=(2, 3)) & ~np.eye(600, dtype=bool)
+    want = (meet & (x @ x.T >= 0.9)).sum(axis=1)
+    assert {r.vec_id: r.n_links for r in embed.near_duplicates(d).collect()} == dict(enumerate(want.tolist()))
+
+
 def test_query(spark, sf):
     from latelens.llm.embed import op5_embedding_near_dedup
 
