@@ -85,7 +85,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, visits: int = VISIT
     named = rows.mapInPandas(names, "vec_id string, name string").withColumn("vec_id", F.col("vec_id").cast("long"))
     parts = rows.mapInPandas(collapse, "name string, rep long, k long, v array<double>")
     classes = cut(parts.groupBy("name").agg(F.min("rep").alias("rep"), F.sum("k").alias("k"), F.first("v").alias("v")))
-    lengths = [(r["d"], r["n"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(1_000).collect()]
+    # a length without centroids is one cell: those of few vectors, and what is beyond the most frequent ones
+    lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    lengths = [(r["d"], r["n"]) for r in lengths.orderBy(F.desc("n"), "d").limit(1_000).collect()]
     centres: dict[int, np.ndarray] = {}
     for d, n in lengths:
         own = classes.where(F.size("v") == d).orderBy("name").limit(SAMPLE).select("v").toPandas()["v"]
@@ -96,9 +98,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, visits: int = VISIT
         for b in batches:
             out = []
             for d, g in b.groupby(b["v"].map(len)):
-                c = shared.value[d]
+                c = shared.value.get(d)
                 x = unit(np.stack([np.asarray(v, float) for v in g["v"]]))
-                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :visits]
+                near = np.zeros((len(x), 1), int) if c is None else np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :visits]
                 for name, k, v, cells in zip(g["name"], g["k"], x, near):
                     out += [(f"{d}:{cell}", name, k, v.tolist(), cells.tolist()) for cell in cells]
             yield pd.DataFrame(out, columns=["cell", "name", "k", "v", "cells"])

@@ -69,6 +69,14 @@ def test_every_compared_link_counts(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in embed.near_duplicates(d).collect()} == dict(enumerate(want.tolist()))
 
 
+def test_vectors_of_many_lengths(spark):
+    rows = [(3 * n + k, [1.0] * n + [float(k // 2)]) for n in range(1, 1_102) for k in range(3)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = {r.vec_id: r.n_links for r in embed.near_duplicates(d).collect()}
+    # 1,0 and 1,0 are equal; the third is near them from five ones on: n / sqrt(n (n + 1)) >= 0.9
+    assert links == {3 * n + k: (2 if n >= 5 else 1 if k < 2 else 0) for n in range(1, 1_102) for k in range(3)}
+
+
 def test_query(spark, sf):
     from latelens.llm.embed import op5_embedding_near_dedup
 
