@@ -179,8 +179,10 @@ def _reach(na, ia, nb, ib, percent: int):
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of two blocks of sets: their incidence product, summed over slices of columns."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    """Overlap counts of two blocks of sets: their incidence product, summed over slices of columns.
+
+    A slice's products are whole in single precision, the sums in double."""
+    out = np.zeros((len(left), len(right)))
     a, b = (np.concatenate(x) for x in (left, right))
     columns = np.intersect1d(a, b)
     flat = []
@@ -202,6 +204,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def reached(o: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether overlaps of sets of n by m shingles reach the bound; all in double precision, which is exact here."""
+    return 100 * o >= percent * (n[:, None] + m - o)
+
+
 def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, root) of the classes that link with another class.
 
@@ -234,9 +241,9 @@ def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
         a, b = (np.flatnonzero(g["side"] == k) for k in (0, 1))
         if not len(a) or not len(b):
             return pd.DataFrame([], columns=["u", "v"])
-        n, root, node = np.array([len(s) for s in sets], np.float32), pd.factorize(g["root"])[0], g["node"].to_numpy()
+        n, root, node = np.array([len(s) for s in sets], np.float64), pd.factorize(g["root"])[0], g["node"].to_numpy()
         o = overlaps([sets[i] for i in a], [sets[i] for i in b])
-        x, y = np.nonzero((100 * o >= percent * (n[a][:, None] + n[b] - o)) & (root[a][:, None] != root[b]))
+        x, y = np.nonzero(reached(o, n[a], n[b], percent) & (root[a][:, None] != root[b]))
         return tidied(pd.DataFrame([(node[i], node[j]) for i, j in forest(a[x], b[y], len(g))], columns=["u", "v"]))
 
     more = cut(placed.groupBy("hub", "i", "j").applyInPandas(tile, "u string, v string"))

@@ -263,6 +263,17 @@ def test_chains_and_large_groups(spark, monkeypatch):
     assert groups(jaccard.jaccard_groups(d, 4, 85)) == expected_groups(docs, 4, 85)
 
 
+@pytest.mark.parametrize("more, linked", [(0, False), (1, True)])
+def test_long_sets_beside_the_bound(more, linked):
+    # 100 o = 102,001,100 and 85 (n + m - o) = 102,001,105 are one number in single precision
+    n, o = 1_110_012, 1_020_011 + more
+    a, b = np.arange(n, dtype=np.uint64), np.arange(n - o, 2 * n - o, dtype=np.uint64)
+    both = jaccard.overlaps([a], [b])
+    assert both.tolist() == [[o]] and (100 * o >= 85 * (2 * n - o)) == linked
+    size = np.array([n], both.dtype)
+    assert jaccard.reached(both, size, size, 85).tolist() == [[linked]]
+
+
 def test_groups_of_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got, want = groups(jaccard.jaccard_groups(odd, 4, 85)), expected_groups(rows, 4, 85)
