@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return
-the columns of documents. Rows of equal doc_id count as one document in the near-duplicate stage.
+the columns of documents. Rows of equal doc_id and text count as one document in the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -33,24 +33,18 @@ def _sized(docs: DataFrame):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity of 0.8 or more: the one of least doc_id.
-
-    A null doc_id stays unless its text links with a named document."""
-    groups = cut(jaccard_groups(docs.select("doc_id", "text"), shingle=5, percent=80))
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = Window.partitionBy("__id").orderBy(F.length("text").desc(), F.xxhash64("text"))
-    named = docs.join(stays, docs["doc_id"] == stays["__id"]).withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    unnamed = docs.where("doc_id is null")
-    if groups.where("doc_id is null and component_id is not null").limit(1).count():
-        # texts of null ids are compared with the named ones again, by a name for each row
-        given = unnamed.withColumn("__id", F.abs(F.xxhash64("text")) * F.lit(-1) - 1)
-        both = given.select(F.col("__id").alias("doc_id"), "text").unionByName(named.select("doc_id", "text"))
-        linked = jaccard_groups(both, shingle=5, percent=80)
-        named_too = linked.groupBy("component_id").agg(F.max("doc_id").alias("most")).where("most >= 0")
-        gone = linked.join(named_too, "component_id").where("doc_id < 0").select(F.col("doc_id").alias("__id")).distinct()
-        unnamed = given.join(gone, "__id", "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return named.select(*columns).unionByName(unnamed.select(*columns))
+    """One row of each group of five-word similarity of 0.8 or more: the one of least doc_id, null ids last.
+
+    Each distinct doc_id and text is a document of its own, known by a hash of both. Texts without words
+    link with nothing: such rows of null doc_id all stay, of others one of each doc_id and text."""
+    key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull())
+    groups = cut(jaccard_groups(docs.select(key.alias("doc_id"), "text"), shingle=5, percent=80).withColumnRenamed("doc_id", "__id").distinct())
+    given = docs.select(key.alias("__id"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("length")).distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.col("length"), "__id", (F.col("doc_id").isNull() & (F.col("n_shingles") == 0)).alias("all"))
+    stays = groups.join(given, "__id").groupBy("component_id").agg(F.min(order).alias("m")).select("m.__id", F.col("m.all").alias("__all"))
+    row = Window.partitionBy("__id").orderBy(F.lit(0))
+    kept = docs.withColumn("__id", key).join(stays, "__id").withColumn("__n", F.row_number().over(row)).where("__n = 1 or __all")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,3 +142,17 @@ def test_stages_on_odd_rows(spark, odd, empty, sf):
     kept = c.near_duplicates(spark, odd, sf)
     texts = [r.text for r in kept.collect() if r.doc_id is not None and r.text and r.text.strip()]
     assert texts.count("one two") == 1
+
+
+def test_repeated_and_null_ids(spark):
+    import corpus_pipeline as c
+
+    text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b", 50)), (1, text("a")), (2, text("b", 50)), (2, text("c")), (3, text("b", 51))]
+    rows += [(None, text("d")), (None, text("d")), (None, text("d", 41)), (None, text("c", 41)), (None, text("e")), (None, None), (None, ""), (None, ""), (4, ""), (4, "")]
+    # a link to one that another one links with: b has 50, 55 and 60 words
+    rows += [(5, text("b", 55)), (None, text("b", 60))]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = c.near_duplicates(spark, docs, "")
+    want = [(1, text("a")), (1, text("b", 50)), (2, text("c")), (None, text("d", 41)), (None, text("e")), (None, None), (None, ""), (None, ""), (4, "")]
+    assert got.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
