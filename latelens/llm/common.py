@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
-import os
-import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,36 +14,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; sets one of its own only where it is unset."""
+    """The shared folder of spark.checkpoint.dir; sets one in the warehouse, which is shared too, only where it is unset."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = os.path.join(os.path.abspath("spark-warehouse"), "checkpoints")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
 
 
-#: How often the bridge to the driver's JVM lets go of objects that Python has dropped.
-DETACH_SECONDS = 1.1
+#: Lets Spark remove what was shuffled for an execution at its end, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """df with its lineage cut by an eager checkpoint in the shared folder.
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by an eager checkpoint in the shared folder; what was shuffled for it goes."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
-    What was shuffled for it isn't needed any more, but stays on disk until the driver collects its
-    garbage; after large shuffles release lets Spark remove those files now."""
-    checkpoint_dir(df.sparkSession)
-    spark, out = df.sparkSession, df.checkpoint(eager=True)
-    del df
-    if release:
-        spark.range(1).count()  # listeners hold the last plan until they see another
-        gc.collect()
-        time.sleep(DETACH_SECONDS)
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        spark.sparkContext._jvm.System.gc()
-    return out
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by cut() that nothing will read any more."""
+    plan = df._jdf.queryExecution().logical()
+    name = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if name is not None and name.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(name.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Groups that one task of a grouped exchange should see at most.

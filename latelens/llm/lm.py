@@ -122,7 +122,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_fold: int = 2, b
         return out, [int((known > 0).sum()), int(known.sum())]
 
     asked = rows.groupBy("chunk").applyInPandas(ask, REQUEST)
-    replies = cut(answered(asked, buckets, total_count), release=True)
+    replies = cut(answered(asked, buckets, total_count))
     v, n = replies.where("chunk = -1").agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first()
     v, n = v or 0, n or 0
 

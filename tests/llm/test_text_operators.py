@@ -190,6 +190,43 @@ def test_repeats_at_every_shift(spark):
     assert repeats(suffix.remove_repeats(d)) == expected_repeats(docs)
 
 
+def test_ties_against_brute_force():
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 99, rng.integers(50, 90)).astype(np.uint8)) for _ in range(60)]
+    texts += [t[:i] + texts[i][-40:] for i, t in enumerate(texts[:30])] + [b"\0" * 60, b"\0" * 75 + b"a"]
+    texts = [t for t in texts if len(t) >= suffix.WINDOW]
+    starts, ids = np.cumsum([0, *map(len, texts)]), rng.permutation(len(texts))
+    places = np.concatenate([suffix.covered(len(t)) + s for t, s in zip(texts, starts)])
+    first: dict = {}
+    for i, t in zip(ids, texts):
+        for k in range(len(t) - suffix.WINDOW + 1):
+            x = t[k : k + suffix.WINDOW]
+            first[x] = min(first.get(x, i), i)
+    want = {(j, k) for j, (i, t) in enumerate(zip(ids, texts)) for k in range(len(t) - suffix.WINDOW + 1) if first[t[k : k + suffix.WINDOW]] < i}
+    for hot in (np.zeros(len(places), bool), np.ones(len(places), bool), np.arange(len(places)) % 2 == 0):
+        # whether a string is hot is a matter of its bytes
+        buf = b"".join(texts)
+        strings = [buf[p : p + suffix.SAMPLE] for p in places]
+        hot = np.array([hot[strings.index(x)] for x in strings])
+        rec, own, at = suffix.records(np.frombuffer(buf, np.uint8), starts, places, hot)
+        for splits, parts in ((np.zeros(0, "S50"), 1), (np.sort(suffix._strings(rec[::40, :50])), 3)):
+            bucket, got = suffix.bucket_of(rec, splits, parts), set()
+            for b in set(bucket.tolist()):
+                k = np.flatnonzero(bucket == b)
+                bits = suffix.ties(rec[k], ids[own[k]])
+                got |= {(int(own[x]), int(at[x] - d - starts[own[x]])) for x, m in zip(k, bits) for d in range(suffix.PERIOD) if int(m) >> d & 1}
+            assert got == want
+
+
+def test_repeats_in_many_buckets_and_passes(spark, sf, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 60_000)
+    monkeypatch.setattr(suffix, "BUCKET_SUFFIXES", 500)
+    monkeypatch.setattr(suffix, "RANGES", 8)
+    monkeypatch.setattr(suffix, "HOT", 3)
+    monkeypatch.setattr(suffix, "HEAVY", 2)
+    assert repeats(suffix.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"))) == expected_repeats(docs_of(spark, sf))
+
+
 def test_repeats_of_odd_rows(odd, empty):
     small = odd.where("doc_id is null or doc_id < 1000")
     assert repeats(suffix.remove_repeats(small)) == expected_repeats([(r.doc_id, r.text) for r in small.collect()])
