@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, full: bool = False) -> DataFrame:
     piece_columns = [x.split(" ")[0] for x in PIECE.split(", ")]
 
     def frame(out: list, more: tuple = ()) -> pd.DataFrame:
-        d = pd.DataFrame(out, columns=[*columns, *more])
+        d = pd.DataFrame(out, columns=[*columns, *more], dtype=object)
         for c in ("least", "n_bytes", "n_removed", "n_spans", *(("chunk", "hits") if more else ())):
             d[c] = pd.array(d[c].tolist(), "Int64")
         return tidied(d)
