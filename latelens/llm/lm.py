@@ -7,9 +7,10 @@ add-one unigrams with a place for unknown words, so each state's continuations s
 
 The whole automaton grows with the corpus and is never in one place. Documents are dealt to chunks;
 a chunk asks for the counts of the n-grams that its own documents run through (training documents
-bring their counts in the same request), and builds from the replies the part of the automaton that
-its documents can reach. The walk goes left to right; as a state is the longest known history, all
-cursors of a chunk are moved together, falling back along failure arcs where an arc is missing.
+bring their counts in the same request), and builds from the replies the tables of states, arcs and
+failure arcs that its documents can reach. The walk goes left to right and carries a state; where the state
+has no arc for a token, it takes failure arcs, adding their weights, until one has. All cursors of a
+chunk move together, so that a step is a search in the arcs' table.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is not held out; repeated
 rows are scored, and counted, each for itself; an empty table gives an empty result; other columns
@@ -50,36 +51,101 @@ def grams(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[tuple[np.n
     return out
 
 
+#: Tokens that a cursor reads; a longer text has several, each warmed up by the tokens of its first history.
+SPAN = 512
+
+
 class Automaton:
-    """Counts by n-gram name for a set of texts, as states with arcs and failure arcs."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct_tokens: int, back: dict[int, float]):
-        self.keys, self.counts, self.back = keys, counts.astype(np.float64), back
-        self.floor = total + distinct_tokens + 1.0
-
-    def count(self, x: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.keys, x)]
-
-    def root(self, x: np.ndarray) -> np.ndarray:
-        return (self.count(x) + 1.0) / self.floor
-
-    def walk(self, tokens: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token after its text's tokens to the left, and the unigram counts."""
-        levels = grams(tokens, starts, order)
-        known = self.count(tokens)
-        p = (known + 1.0) / self.floor
-        before = known
-        for k, (x, has) in enumerate(levels[1:], 2):
-            c = np.zeros(len(tokens))
-            c[has] = self.count(x[has])
-            history = np.zeros(len(tokens))
-            history[1:] = before[:-1]  # the state a cursor stands in: the (k-1)-gram that ends one token earlier
-            history[~has] = 0
-            m = self.back[k]
-            # an arc where c > 0; a failure arc's weight times the lower state's where c = 0
-            p = (c + m * p) / (history + m)
-            before = c
-        return np.log10(p), known
+    """The part of the automaton that a chunk's texts can reach.
+
+    States are numbered from the root (0); state_of[k - 1] gives the state of a k-gram of the chunk, -1 for an
+    unknown one. Arcs stand sorted by state and token beside their weight and next state; those of the
+    root are found by token. fail and fail_weight hold each state's failure arc."""
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, order: int, count, total: int, distinct_tokens: int, back: dict[int, float]):
+        """count: training counts for n-gram names; total and distinct_tokens: of the training tokens."""
+        self.order, self.starts, self.floor = order, starts, total + distinct_tokens + 1.0
+        self.unknown = -np.log10(self.floor)
+        ids, state_of, p_before, c_before = [], [], None, None
+        fail, fail_weight, keys, weights, nexts, n = [np.zeros(1, np.int64)], [np.zeros(1)], [], [], [], 1
+        for k, (x, has) in enumerate(grams(tokens, starts, order), 1):
+            at = np.flatnonzero(has)
+            names_, first, run = np.unique(x[at], return_index=True, return_inverse=True)
+            own, place = np.full(len(tokens), -1, np.int64), at[first]
+            own[at] = run
+            c = count(names_).astype(np.float64)
+            known = np.flatnonzero(c > 0)
+            if k == 1:
+                self.known, suffix_state = c[own], np.zeros(len(c), np.int64)
+                p = (c + 1.0) / self.floor
+            else:
+                suffix, history = ids[-1][place], ids[-1][place - 1]
+                suffix_state = state_of[-1][suffix]
+                p = (c + back[k] * p_before[suffix]) / (c_before[history] + back[k])
+            if k < order:
+                state = np.full(len(c), -1, np.int64)
+                state[known] = np.arange(n, n + len(known))
+                n += len(known)
+                fail.append(suffix_state[known])
+                fail_weight.append(np.log10(back[k + 1] / (c[known] + back[k + 1])))
+            else:
+                state = suffix_state
+            if k == 1:
+                self.token = own
+                self.root_weight = np.where(c > 0, np.log10(p), self.unknown)
+                self.root_next = np.where(c > 0, state, 0) if order > 1 else np.zeros(len(c), np.int64)
+            else:
+                keys.append(state_of[-1][history[known]] << 32 | ids[0][place[known]])
+                weights.append(np.log10(p[known]))
+                nexts.append(state[known])
+            ids.append(own)
+            state_of.append(state)
+            p_before, c_before = p, c
+        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+        keys = np.concatenate([*keys, np.zeros(0, np.int64)])
+        at = np.argsort(keys)
+        self.arcs = np.append(keys[at], np.iinfo(np.int64).max)
+        self.weight, self.next = np.concatenate([*weights, np.zeros(0)])[at], np.concatenate([*nexts, np.zeros(0, np.int64)])[at]
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token after its text's tokens to the left, and the failure arcs taken for it.
+
+        Cursors go left to right, each carrying its state; all move together."""
+        size = np.diff(np.append(self.starts, len(self.token)))
+        spans = -(-size // SPAN)
+        text = np.repeat(np.arange(len(size)), spans)
+        emit = self.starts[text] + SPAN * (np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans))
+        begin = np.maximum(self.starts[text], emit - (self.order - 1))
+        end = np.minimum(emit + SPAN, self.starts[text] + size[text])
+        longest = np.argsort(begin - end, kind="stable")
+        begin, emit, end = begin[longest], emit[longest], end[longest]
+        state, length = np.zeros(len(begin), np.int64), end - begin
+        logs, failed = np.zeros(len(self.token)), np.zeros(len(self.token), np.int64)
+        for t in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length, -t))
+            place = begin[:live] + t
+            w, s = self.token[place], state[:live].copy()
+            acc, falls = np.zeros(live), np.zeros(live, np.int64)
+            open_ = np.flatnonzero(s)
+            while len(open_):
+                key = s[open_] << 32 | w[open_]
+                at = np.searchsorted(self.arcs, key)
+                hit = self.arcs[at] == key
+                got, arc = open_[hit], at[hit]
+                acc[got] += self.weight[arc]
+                state[got] = self.next[arc]
+                miss = open_[~hit]
+                acc[miss] += self.fail_weight[s[miss]]
+                falls[miss] += 1
+                s[got] = -1  # this cursor has moved on
+                s[miss] = self.fail[s[miss]]
+                open_ = miss[s[miss] > 0]
+            root = np.flatnonzero(s == 0)
+            acc[root] += self.root_weight[w[root]]
+            state[root] = self.root_next[w[root]]
+            shown = place >= emit[:live]
+            logs[place[shown]], failed[place[shown]] = acc[shown], falls[shown]
+        return logs, failed
 
 
 def score(docs: DataFrame, order: int = 2, folds: int = 7, held_fold: int = 2, back: dict[int, float] = BACK) -> DataFrame:
@@ -131,8 +197,9 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, held_fold: int = 2, b
             return pd.DataFrame([], columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
         tokens, starts = tokens_of(g["text"])
         keys = distinct(np.concatenate([x[has] for x, has in grams(tokens, starts, order)]))
-        auto = Automaton(keys, replies_of(r), n, v, back)
-        logs, known = auto.walk(tokens, starts, order)
+        counts = replies_of(r)
+        auto = Automaton(tokens, starts, order, lambda x: counts[np.searchsorted(keys, x)], n, v, back)
+        logs, known = auto.walk()[0], auto.known
         base = np.log10((known + 1.0) / auto.floor)
         return pd.DataFrame(
             {

@@ -69,25 +69,26 @@ def test_mix_of_odd_rows(odd, empty):
 # ---- scoring -------------------------------------------------------------------------------------------
 
 
-def expected_scores(docs, m=lm.BACK[2]):
+def expected_scores(docs, order=2, back=lm.BACK):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     toks = [(i, (t or "").encode().lower().split() + [None]) for i, t in docs]
-    one, two = Counter(), Counter()
+    counts: Counter = Counter()
     for i, t in toks:
         if not held(i):
-            one.update(t)
-            two.update(zip(t, t[1:]))
-    n, v = sum(one.values()), len(one)
+            counts.update(tuple(t[j : j + k]) for k in range(1, order + 1) for j in range(len(t) - k + 1))
+    single = [c for g, c in counts.items() if len(g) == 1]
+    n, v = sum(single), len(single)
+
+    def p(g):
+        if len(g) == 1:
+            return (counts[g] + 1) / (n + v + 1)
+        return (counts[g] + back[len(g)] * p(g[1:])) / (counts[g[:-1]] + back[len(g)])
+
     out = []
     for i, t in toks:
-        base = score = 0.0
-        for k, w in enumerate(t):
-            p = (one[w] + 1) / (n + v + 1)
-            base += math.log10(p)
-            if k:
-                p = (two[t[k - 1], w] + m * p) / (one[t[k - 1]] + m)
-            score += math.log10(p)
-        out.append((-1 if i is None else i, held(i), len(t), sum(one[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
+        base = sum(math.log10(p((w,))) for w in t)
+        score = sum(math.log10(p(tuple(t[max(0, k - order + 1) : k + 1]))) for k in range(len(t)))
+        out.append((-1 if i is None else i, held(i), len(t), sum(counts[w,] > 0 for w in t), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
@@ -104,7 +105,8 @@ def close(a, b):
 def test_scores_against_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_BYTES", 50_000)
     monkeypatch.setattr(lm, "BUCKET_KEYS", 5_000)
-    close(rounded(lm.score(spark.read.parquet(f"{sf}/documents.parquet"))), expected_scores(docs_of(spark, sf)))
+    for order in (2, 3):
+        close(rounded(lm.score(spark.read.parquet(f"{sf}/documents.parquet"), order=order)), expected_scores(docs_of(spark, sf), order))
 
 
 def test_scores_of_odd_rows(odd, empty):
@@ -112,24 +114,41 @@ def test_scores_of_odd_rows(odd, empty):
     assert lm.score(empty).count() == 0
 
 
-def test_continuations_sum_to_one():
+def automaton(train, text, order):
+    """The automaton that a text reaches, counts being those of a training text."""
+    grams = lambda t: [x[has] for x, has in lm.grams(t, np.array([0]), order)]
+    counts = Counter(np.concatenate(grams(train)).tolist())
+    words = Counter(train.tolist())
+    return lm.Automaton(text, np.array([0]), order, lambda x: np.array([counts[i] for i in x.tolist()]), len(train), len(words), lm.BACK)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_continuations_sum_to_one(order):
     a, b = np.uint64(11), np.uint64(22)
-    text = np.array([a, b, a, a, lm.END], np.uint64)
-    grams = lm.grams(text, np.array([0]), 2)
-    every = np.concatenate([x[has] for x, has in grams])
-    keys, counts = np.unique(every, return_counts=True)
-    for history in (a, b):
-        total = 0.0
-        for w in (a, b, lm.END, np.uint64(99)):
-            t = np.array([history, w], np.uint64)
-            need = np.concatenate([x[has] for x, has in lm.grams(t, np.array([0]), 2)])
-            k = np.unique(np.concatenate([keys, need]))
-            c = np.zeros(len(k))
-            c[np.searchsorted(k, keys)] = counts
-            total += 10 ** lm.Automaton(k, c, 5, 3, lm.BACK).walk(t, np.array([0]), 2)[0][1]
+    train = np.array([a, b, a, a, b, lm.END], np.uint64)
+    for history in ([a], [b], [a, a], [a, b], [b, b], [np.uint64(98), a]):
+        total = sum(10 ** automaton(train, np.array([*history, w], np.uint64), order).walk()[0][-1] for w in (a, b, lm.END, np.uint64(99)))
         assert total == pytest.approx(1.0)
 
 
+def test_missing_arcs_take_failure_arcs():
+    a, b, c = (np.uint64(x) for x in (11, 22, 33))
+    train = np.array([a, b, c, a, b, b, lm.END], np.uint64)
+    x = automaton(train, np.array([a, b, c, b, a, np.uint64(99), a, b], np.uint64), 3)
+    # root; arc; arc of (a, b); (b, c) has none for b, nor has c; b, then none of (b) for a; none at all; back at the root; arc
+    assert x.walk()[1].tolist() == [0, 0, 0, 2, 1, 1, 0, 0]
+    assert (x.fail_weight[1:] < 0).all() and (x.fail < np.arange(len(x.fail)) + (np.arange(len(x.fail)) == 0)).all()
+
+
+def test_long_texts_have_several_cursors(monkeypatch):
+    rng = np.random.default_rng(1)
+    train, text = (np.append(rng.integers(1, 30, 400).astype(np.uint64), lm.END) for _ in range(2))
+    whole = automaton(train, text, 3).walk()
+    monkeypatch.setattr(lm, "SPAN", 7)
+    cut = automaton(train, text, 3).walk()
+    assert all((x == y).all() for x, y in zip(whole, cut))
+
+
 def test_held_out_text_is_predicted_better(spark, sf):
     r = lm.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").toPandas()
     assert r.score.sum() > r.base_score.sum()
