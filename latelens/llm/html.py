@@ -1,11 +1,16 @@
 """Main text of web pages by minimum-cut labelling.
 
 The page is read into blocks: runs of text between block-level tags, with the tags open around them.
-Weights of a linear classifier over each block's surroundings and text give its costs of being
-content or boilerplate, which become capacities from a source and to a sink. Neighbours in page
-order, and blocks under the same open element (by a node of that element), are tied by smoothness
-edges that weaken where containers differ. The minimum cut by maximum flow is the labelling of least
-cost; the blocks on the source's side are the main text.
+A logistic classifier over each block's surroundings and text gives the log-odds of content, which become
+capacities from a source or to a sink. Neighbours in page order, and blocks under the same open
+element (by a node of that element), are tied by smoothness edges on the same scale, which weaken where
+containers differ. The minimum cut by maximum flow is the labelling of least cost; the blocks on the
+source's side are the main text.
+
+The classifier is fitted on a bounded sample of about SAMPLE_PAGES pages, spread by hash over the table:
+blocks in elements whose names say what they hold (article or main against nav, footer, aside, form or
+header) are its labelled rows, each also without that knowledge, so that text and layout learn to tell
+them apart by themselves. Weights are drawn to PRIOR, which alone counts where nothing is labelled.
 
 Defined cases: a null or empty page gives an empty text; pages without tags are one block; unclosed,
 stray and wrongly nested tags are taken as browsers do in the main (a paragraph ends at the next
@@ -21,6 +26,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +44,13 @@ AWAY = frozenset("nav footer aside form menu".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
 #: Words in class and id names.
 AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|sidebar|aside|rail|footer|header|masthead|topbar|breadcrumb|breadcrumbs|crumbs|ad|ads|adv|advert|adverts|advertisement|adsense|banner|promo|promos|promotion|"
-    r"sponsor|sponsored|sponsors|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|signin|register|share|sharing|social|related|recommended|recommendations|more-?stories|"
-    r"comment|comments|commentlist|disqus|reply|replies|respond|responses|discussion|search|toolbar|widget|widgets|pagination|pager|paging|tags|tagcloud|skip|copyright|disclaimer|outbrain|taboola|toc)(?=$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|sidebar|aside|rail|masthead|topbar|breadcrumb|breadcrumbs|crumbs|ad|ads|adv|advert|adverts|advertisement|adsense|banner|promo|promos|promotion|"
+    r"sponsor|sponsored|sponsors|cookie|cookies|consent|gdpr|notice|notices|popup|newsletter|subscribe|subscription|signup|login|signin|register|share|sharing|social|related|recommended|recommendations|more-?stories|"
+    r"comment|comments|commentlist|disqus|pagination|pager|paging|outbrain|taboola)(?=$|[\s_-]|\d)",
     re.I,
 )
+#: Such words that can also name a part of a text, and say less inside one.
+DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:header|footer|alert|modal|overlay|reply|replies|respond|responses|discussion|search|toolbar|widget|widgets|tags|tagcloud|skip|copyright|disclaimer|toc)(?=$|[\s_-]|\d)", re.I)
 HOME_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|blog|page-?content|maincontent|post-?body|article-?body|hentry)(?=$|[\s_-]|\d)", re.I)
 #: Names in which those words say something else: a text's own head, or that its page has a frame.
 OWN_NAMES = re.compile(r"(?:article|post|entry|story|content|text)[_-]{1,2}(?:header|head|title|tags)|(?:has|have|with|no|without)[_-][\w-]+|(?:header|menu|footer|sidebar)[_-](?:fixed|left|right|open|closed|enabled|layout)", re.I)
@@ -52,24 +60,23 @@ ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 ENDED = re.compile(r"[.!?…:;\"'”’»)]$")
 
 
+#: What the classifier looks at; what says outright whether a block is content is left out of a labelled row's second copy.
+FEATURES = ("bias", "away", "away_name", "doubtful_name", "article", "home_name", "heading", "paragraph", "long", "ended", "links")
+TOLD = (1, 2, 3, 4, 5)
+#: Weights in log-odds of content that fitting starts from, and how far they are believed.
+PRIOR, SPREAD = (0.5, -8.0, -8.0, -2.5, 3.0, 1.5, 1.0, 1.0, 1.5, 0.7, -4.0), 1.0
+#: Pages that the classifier is fitted on, about; labelled rows that they count as, at most.
+SAMPLE_PAGES, WORTH, ROUNDS = 2_000, 200, 30
+
+
 @dataclass(frozen=True)
-class Weights:
-    """Costs in units of the classifier's score; positive ones speak for content."""
-
-    away: int = 60
-    away_name: int = 60
-    article: int = 40
-    home_name: int = 15
-    inside_away_header: int = 60
-    heading: int = 6
-    paragraph: int = 8
-    long_text: int = 10
-    ended: int = 4
-    links: int = 24
-    bare: int = 3
-    order_edge: int = 4
-    order_edge_apart: int = 1
-    dom_edge: int = 3
+class Model:
+    """The classifier's weights, and the smoothness edges in the same log-odds."""
+
+    weights: tuple[float, ...] = PRIOR
+    order_edge: float = 1.0
+    order_edge_apart: float = 0.25
+    dom_edge: float = 0.5
 
 
 @dataclass(slots=True)
@@ -77,6 +84,8 @@ class Element:
     tag: str
     parent: "Element | None"
     away: bool = False  # an element of the page's frame
+    away_name: bool = False
+    doubtful: bool = False
     article: bool = False
     home: bool = False
     silent: bool = False
@@ -96,7 +105,8 @@ class Block:
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     e = Element(tag, parent)
     if parent is not None:
-        e.away, e.article, e.home, e.silent, e.depth = parent.away, parent.article, parent.home, parent.silent, parent.depth + 1
+        e.away, e.away_name, e.doubtful = parent.away, parent.away_name, parent.doubtful
+        e.article, e.home, e.silent, e.depth = parent.article, parent.home, parent.silent, parent.depth + 1
     if tag in NO_TEXT:
         e.silent = True
     if tag in AWAY or (tag == "header" and not e.article):
@@ -115,10 +125,14 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     if tag in ("article", "main"):
         e.article = True
     if named and tag not in ("html", "body"):
-        named = OWN_NAMES.sub(" ", named) if AWAY_NAMES.search(named) else named
-        if AWAY_NAMES.search(named) and not (tag in ("article", "main") and HOME_NAMES.search(named)):
-            e.away = True
-        elif HOME_NAMES.search(named):
+        plain = OWN_NAMES.sub(" ", named)
+        known = HOME_NAMES.search(named)
+        doubtful, own = DOUBTFUL_NAMES.search(plain), tag in ("article", "main") and known
+        if not own and (AWAY_NAMES.search(plain) or (doubtful and not (e.article or e.home))):
+            e.away_name = True
+        elif doubtful and not own:
+            e.doubtful = True
+        elif known:
             e.home = True
     return e
 
@@ -211,27 +225,49 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def score(b: Block, w: Weights) -> int:
-    """The classifier: above 0 for content."""
+def features(b: Block) -> tuple[int, ...]:
+    """The block's features in the order of FEATURES, in tenths."""
     e, n = b.at, len(b.text)
-    words = b.text.count(" ") + 1
-    s = w.bare
-    if e.away:
-        s -= w.away
-    if e.article:
-        s += w.article
-    elif e.home:
-        s += w.home_name
-    if b.heading:
-        s += w.heading
-    if b.paragraph:
-        s += w.paragraph
-    s += w.long_text * min(words, 30) // 30
-    if ENDED.search(b.text):
-        s += w.ended
-    if b.linked:
-        s -= w.links * min(b.linked, n) // n
-    return s
+    out = e.away or e.away_name
+    long = min(b.text.count(" ") + 1, 30) // 3
+    seen = (1, e.away, e.away_name, e.doubtful, e.article and not out, e.home and not e.article and not out, b.heading, b.paragraph)
+    return (*(10 * int(x) for x in seen), long, 10 * bool(ENDED.search(b.text)), 10 * min(b.linked, n) // n)
+
+
+def score(b: Block, m: Model) -> float:
+    """The classifier's log-odds: above 0 for content."""
+    return sum(w * x for w, x in zip(m.weights, features(b))) / 10
+
+
+def labelled_rows(page: str | None) -> list[tuple[tuple[int, ...], int]]:
+    """(features, label) of the blocks whose elements say whether they are content, with and without that knowledge."""
+    out = []
+    for b in blocks_of(page) if page else []:
+        e = b.at
+        if e.away or (e.article and not e.away_name and not e.doubtful):
+            x, y = features(b), int(not e.away)
+            out += [(x, y), (tuple(0 if k in TOLD else v for k, v in enumerate(x)), y)]
+    return out
+
+
+def fitted(counts: list[tuple[tuple[int, ...], int, int]]) -> Model:
+    """The model of greatest posterior for (features, label, how many rows); the bias stays as it is."""
+    total = sum(n for *_, n in counts)
+    if not total:
+        return Model()
+    x = np.array([c[0] for c in counts], float) / 10
+    y, n = np.array([c[1] for c in counts], float), np.array([c[2] for c in counts], float) * min(1.0, WORTH / total)
+    prior = np.array(PRIOR)
+    w = prior.copy()
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        slope = x.T @ (n * (y - p)) - (w - prior) / SPREAD**2
+        bend = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / SPREAD**2
+        step = np.linalg.solve(bend[1:, 1:], slope[1:])
+        w[1:] += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return Model(tuple(np.round(w, 6).tolist()))
 
 
 class Flow:
@@ -294,40 +330,59 @@ class Flow:
                     break
 
 
-def labelled(blocks: list[Block], w: Weights = Weights()) -> list[bool]:
+#: Capacities are whole numbers: thousandths of log-odds.
+UNIT = 1_000
+
+
+def labelled(blocks: list[Block], m: Model = Model()) -> list[bool]:
     """True for content: the source's side of the minimum cut."""
     if not blocks:
         return []
-    n, groups = len(blocks), {}
+    n, groups, own = len(blocks), {}, []
     for b in blocks:
         e = b.at
         while e.parent is not None and e.tag not in SECTIONS:
             e = e.parent
-        groups.setdefault(id(e), len(groups))
-        b.parts = [id(e)]
+        own.append(groups.setdefault(id(e), len(groups)))
     g = Flow(n + len(groups) + 2)
     s, t = n + len(groups), n + len(groups) + 1
+    whole = lambda x: int(round(x * UNIT))
+    near, far, dom = whole(m.order_edge), whole(m.order_edge_apart), whole(m.dom_edge)
     for i, b in enumerate(blocks):
-        x = score(b, w)
+        x = whole(score(b, m))
         g.edge(s, i, x) if x > 0 else g.edge(i, t, -x)
-        own = n + groups[b.parts[0]]
-        g.edge(i, own, w.dom_edge, w.dom_edge)
+        g.edge(i, n + own[i], dom, dom)
         if i:
-            near = w.order_edge if blocks[i - 1].parts[0] == b.parts[0] else w.order_edge_apart
-            g.edge(i - 1, i, near, near)
+            edge = near if own[i - 1] == own[i] else far
+            g.edge(i - 1, i, edge, edge)
     return g.source_side(s, t)[:n]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, m: Model = Model()) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    keep = labelled(blocks)
+    keep = labelled(blocks, m)
     return "\n\n".join(b.text for b, ok in zip(blocks, keep) if ok)
 
 
-def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages' columns but the html, with text and n_chars."""
+def fit(pages: DataFrame, column: str = "html") -> Model:
+    """The classifier fitted on about SAMPLE_PAGES pages; what comes to the driver are counts of distinct feature rows."""
+    every = -(-pages.count() // SAMPLE_PAGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for x in b.column(0).to_pylist() for r in labelled_rows(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([list(r[0]) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int32())], names=["x", "y"])
+
+    some = pages.where(F.pmod(F.xxhash64(column), F.lit(max(1, every))) == 0).select(column)
+    counts = some.mapInArrow(run, "x array<int>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
+    return fitted(sorted((tuple(r["x"]), r["y"], r["n"]) for r in counts))
+
+
+def extract(pages: DataFrame, column: str = "html", model: Model | None = None) -> DataFrame:
+    """pages' columns but the html, with text and n_chars; the model is fitted on pages where none is given."""
+    m = fit(pages, column) if model is None else model
     kept = pages.drop("text", "n_chars")
     at = kept.columns.index(column)
     fields = kept.schema.fields
@@ -335,7 +390,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [*b.columns[:at], *b.columns[at + 1 :], pa.array([main_text(x) for x in b.column(at).to_pylist()], pa.string())]
+            columns = [*b.columns[:at], *b.columns[at + 1 :], pa.array([main_text(x, m) for x in b.column(at).to_pylist()], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return kept.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
