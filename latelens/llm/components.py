@@ -1,8 +1,8 @@
 """Connected components over a table of links, by alternating star contractions.
 
 Every round is a pair of grouped minima and joins; nothing but a row count and a checksum of the
-links comes to the driver. Hubs with very many links only occur beside one-row-per-key minima, so
-their rows can be split; lineage is cut by checkpoints in the shared folder.
+links comes to the driver. The links of hubs are salted. Lineage is cut by checkpoints in the shared
+folder, and a round's are deleted once the next one's stand.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, heavy_join
 
 
 def _state(e: DataFrame) -> tuple:
@@ -28,11 +28,14 @@ def components(links: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        large = heavy_join(both, least.select("u", F.least("u", "m").alias("m")), "u", "v", least.select("u", "k")).where("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = heavy_join(large, least.select("u", "m"), "u", "v", least.select("u", "k"))
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        old, e = e, cut(small.select("x.u", "x.v").where("u <> v").distinct())
+        discard(old)
         after = _state(e)
         if after == before:
             break

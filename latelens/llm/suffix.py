@@ -38,7 +38,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, parsed, tidied
+from .common import cut, dealt, heavy_join, parsed, tidied
 from .exchange import REQUEST, answered, as_frame, joined, mixed, pack, pack_sorted, power_of_two, replies_of, requests, text_bytes, unpack, unpack_sorted
 
 WINDOW = 50
@@ -434,18 +434,10 @@ def _splits(pieces: DataFrame, hits: int, ranges: int) -> np.ndarray:
     return _strings(np.frombuffer(b"".join(x.ljust(WINDOW, b"\0") for x in sorted(set(edge))), np.uint8).reshape(-1, WINDOW)) if edge else np.zeros(0, f"S{WINDOW}")
 
 
-#: Rows of one text from which on they are dealt to several tasks, and that one such task takes.
-HEAVY = 10_000
-
-
 def _spread(docs: DataFrame, texts: DataFrame, full: bool) -> DataFrame:
-    """texts' results for each row of docs; a heavy text's rows are salted."""
+    """texts' results for each row of docs."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("name"))
-    heavy = ids.groupBy("name").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("salts")).where("salts > 1")
-    salts = F.coalesce("salts", F.lit(1))
-    left = ids.join(heavy, "name", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("salts")
-    right = texts.join(heavy, "name", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    j = left.join(right, ["name", "salt"])
+    j = heavy_join(ids, texts, "name", "doc_id")
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= WINDOW)
     none = F.col("doc_id").isNull()
     pick = lambda c, whole, gone: F.when(none, whole).when(copy, gone).otherwise(F.col(c)).alias(c)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latelens.llm import bpe, html, jaccard, lm, mixing, pii, suffix
+from latelens.llm import bpe, common, html, jaccard, lm, mixing, pii, suffix
 from latelens.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
 
 
@@ -243,7 +243,7 @@ def test_repeats_in_many_buckets_and_passes(spark, sf, monkeypatch):
     monkeypatch.setattr(suffix, "BUCKET_SUFFIXES", 500)
     monkeypatch.setattr(suffix, "RANGES", 8)
     monkeypatch.setattr(suffix, "HOT", 3)
-    monkeypatch.setattr(suffix, "HEAVY", 2)
+    monkeypatch.setattr(common, "HEAVY", 2)
     assert repeats(suffix.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"))) == expected_repeats(docs_of(spark, sf))
 
 
@@ -297,6 +297,7 @@ def test_groups_against_brute_force(spark, sf, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)
     monkeypatch.setattr(jaccard, "SLICE", 32)
+    monkeypatch.setattr(common, "HEAVY", 3)
     assert groups(jaccard.jaccard_groups(spark.read.parquet(f"{sf}/documents.parquet"), n, percent)) == expected_groups(docs_of(spark, sf), n, percent)
 
 
