@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,26 +30,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by an eager checkpoint in the shared folder; what was shuffled for it goes."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+@contextlib.contextmanager
+def _tidy_shuffles(spark: SparkSession):
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by cut() that nothing will read any more."""
-    plan = df._jdf.queryExecution().logical()
-    name = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
-    if name is not None and name.isDefined():
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(name.get())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by an eager checkpoint in the shared folder; what was shuffled for it goes."""
+    checkpoint_dir(df.sparkSession)
+    with _tidy_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again; unlike a checkpoint it is planned by its true size."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    with _tidy_shuffles(spark):
+        df.select("*").write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table made by stored() that nothing will read any more."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table._folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Groups that one task of a grouped exchange should see at most.

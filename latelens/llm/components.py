@@ -1,8 +1,8 @@
 """Connected components over a table of links, by alternating star contractions.
 
 Every round is a pair of grouped minima and joins; nothing but a row count and a checksum of the
-links comes to the driver. The links of hubs are salted. Lineage is cut by checkpoints in the shared
-folder, and a round's are deleted once the next one's stand.
+links comes to the driver. The links of hubs are salted. Lineage is cut by tables in the shared
+folder, and a round's is deleted once the next one's stands.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, heavy_join
+from .common import discard, heavy_join, stored
 
 
 def _state(e: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and links of a node to itself are ignored; no links give an empty result."""
     e = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e)
+    e = stored(e)
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
         small = heavy_join(large, least.select("u", "m"), "u", "v", least.select("u", "k"))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        old, e = e, cut(small.select("x.u", "x.v").where("u <> v").distinct())
+        old, e = e, stored(small.select("x.u", "x.v").where("u <> v").distinct())
         discard(old)
         after = _state(e)
         if after == before:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PER_TASK, cut, heavy_join, parsed, tidied
+from .common import PER_TASK, cut, heavy_join, parsed, stored, tidied
 from .components import components, forest
 from .exchange import REQUEST, answered, as_frame, mixed, power_of_two, replies_of, requests, text_bytes
 from .shingles import shingle_set, words
@@ -242,25 +242,24 @@ def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
     hubs = posts.groupBy("col").agg(F.min(F.struct("own", "node", "n", "at")).alias("h"), F.count("*").alias("k")).where("k > 1")
     both = heavy_join(posts, hubs, "col", "node", hubs.select("col", "k"))
     may = (F.col("node") != F.col("h.node")) & _sizes_fit("n", "h.n", percent) & _reach(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at"), percent)
-    members = cut(both.groupBy(F.col("h.node").alias("hub"), "node").agg(F.first("n").alias("n"), F.min(F.when(may, F.struct(F.col("h.own").alias("own"), F.col("h.node").alias("v")))).alias("best")))
+    members = stored(both.groupBy(F.col("h.node").alias("hub"), "node").agg(F.first("n").alias("n"), F.min(F.when(may, F.struct(F.col("h.own").alias("own"), F.col("h.node").alias("v")))).alias("best")))
     star = members.groupBy(F.col("node").alias("u")).agg(F.min("best").alias("b")).where("b is not null").select("u", F.col("b.v").alias("v"))
-    links = cut(verified(star, texts, shingle, percent))
-    groups = cut(components(links))
+    links = stored(verified(star, texts, shingle, percent))
+    groups = stored(components(links))
     # hubs whose rows aren't known to be one group: all rows against those outside the largest one, by size
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
     open_ = members.select("hub", "node", "n").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = open_.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     split = roots.groupBy("hub").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    open_ = heavy_join(open_, split.select("hub", F.col("top.root").alias("top")), "hub", "node").withColumn("band", band)
+    open_ = stored(heavy_join(open_, split.select("hub", F.col("top.root").alias("top")), "hub", "node").withColumn("band", band))
     # a row outside the largest group meets rows of its own band and of its neighbours
     left = open_.where("root <> top").select("hub", "band", F.lit(0).alias("side"), "node", "root", "n")
     right = open_.select("hub", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.lit(1).alias("side"), "node", "root", "n")
-    load = lambda d, k: d.groupBy("hub", "band").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias(k))
-    blocks = load(left, "p").join(load(right, "q"), ["hub", "band"])
-    blocks = blocks.select(F.concat_ws(":", "hub", "band").alias("block"), "p", "q")
-    h = F.xxhash64("node")
     sides = left.unionByName(right).withColumn("block", F.concat_ws(":", "hub", "band")).drop("hub", "band")
-    sides = heavy_join(sides, blocks, "block", "node")
+    size = lambda k: F.greatest(F.ceil(F.sum(F.when(F.col("side") == k, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.count_if(F.col("side") == k) / BLOCK_ROWS)).cast("int")
+    blocks = stored(sides.groupBy("block").agg(size(0).alias("p"), size(1).alias("q"), F.count("*").alias("k")).where("p > 0 and q > 0"))
+    h = F.xxhash64("node")
+    sides = heavy_join(sides, blocks.drop("k"), "block", "node", blocks.select("block", "k"))
     mine, other = F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("q")), F.when(F.col("side") == 0, F.col("q")).otherwise(F.col("p"))
     sides = sides.withColumn("own", F.pmod(h, mine).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), other - 1)))
     i, j = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("every")) for k in (0, 1))
@@ -276,7 +275,7 @@ def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
         x, y = np.nonzero(reached(o, n[a], n[b], percent) & (root[a][:, None] != root[b]))
         return tidied(pd.DataFrame([(node[i], node[j]) for i, j in forest(a[x], b[y], len(g))], columns=["u", "v"]))
 
-    more = cut(placed.groupBy("block", "i", "j").applyInPandas(tile, "u string, v string"))
+    more = stored(placed.groupBy("block", "i", "j").applyInPandas(tile, "u string, v string"))
     every = groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
     return components(every)
 
@@ -287,7 +286,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     roots = linked_classes(found, shingle, percent)
     named = found.where("node <> ''").select("node", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = heavy_join(named, least, "root", "node").select("node", F.col("n").alias("n_shingles"), "component_id")
+    named = stored(heavy_join(named, least, "root", "node").select("node", F.col("n").alias("n_shingles"), "component_id"))
     ids = _named(docs, False)
     linked = heavy_join(ids.where("node <> ''"), named, "node", "doc_id").select("doc_id", "n_shingles", "component_id")
     alone = ids.where("node = ''").select("doc_id", F.lit(0).cast("long").alias("n_shingles")).withColumn("component_id", F.col("doc_id"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from latelens.llm import embed
+from latelens.llm import common, embed
 from latelens.llm.components import components
 
 
@@ -69,6 +69,21 @@ def test_every_compared_link_counts(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in embed.near_duplicates(d).collect()} == dict(enumerate(want.tolist()))
 
 
+def test_cells_within_cells(spark, monkeypatch):
+    monkeypatch.setattr(embed, "CELL", 20)
+    monkeypatch.setattr(embed, "MOST_CELLS", 6)
+    monkeypatch.setattr(embed, "FILED", 100)
+    monkeypatch.setattr(common, "HEAVY", 50)
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(30, 12))
+    vs = (c[rng.integers(0, 30, 700)] + rng.normal(size=(700, 12)) * 0.1).astype(np.float32).tolist()
+    d = spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<float>")
+    r, e = got(embed.near_duplicates(d)), expected(list(range(700)), vs)
+    assert sum(x[1] for x in r) >= 0.95 * sum(x[1] for x in e) > 0 and all(x[1] <= y[1] for x, y in zip(r, e))
+    kept = embed.filed(d.select(F.col("vec_id").cast("string").alias("name"), F.lit("12").alias("grp"), F.lit(b"").alias("v")).limit(20), "<f4", 4).collect()
+    assert {(x.cell, x.capped) for x in kept} == {("12", False)}
+
+
 def test_vectors_of_many_lengths(spark):
     rows = [(3 * n + k, [1.0] * n + [float(k // 2)]) for n in range(1, 1_102) for k in range(3)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
