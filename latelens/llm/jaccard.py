@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PER_TASK, cut, heavy_join, parsed, stored, tidied
+from .common import PER_TASK, cut, heavy_join, stored, tidied
 from .components import components, forest
 from .exchange import REQUEST, answered, as_frame, mixed, power_of_two, replies_of, requests, text_bytes
 from .shingles import shingle_set, words
@@ -41,7 +41,7 @@ BLOCK_SHINGLES, BLOCK_ROWS, SLICE = 400_000, 1_024, 2_048
 #: Bits of the keys that column frequencies are counted by; a clash only makes a column look less rare.
 BITS = 48
 COUNT_CAP = 65_535
-CLASSES = "node string, n long, n_own long, least long, cols array<long>, at array<int>, text string"
+CLASSES = "node string, n long, n_own long, least string, cols array<long>, at array<int>, text string"
 
 
 def needed(n: int, percent: int) -> int:
@@ -74,11 +74,17 @@ def _named(docs: DataFrame, texts: bool) -> DataFrame:
                     first[name][0] = i
             told.update(first)
             rows = list(first.values())
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["node", "least", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array([r[0] for r in rows], ids.type), pa.array([r[1] for r in rows], pa.string())], names=["node", "least", "text"])
         tidied(None)
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return given.mapInArrow(run, "node string, least long, text string" if texts else "node string, doc_id long")
+    kind = id_kind(docs)
+    given = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    return given.mapInArrow(run, f"node string, least {kind}, text string" if texts else f"node string, doc_id {kind}")
+
+
+def id_kind(docs: DataFrame) -> str:
+    """Ids are integers, or else text and ordered as such."""
+    return "string" if dict(docs.dtypes)["doc_id"] == "string" else "long"
 
 
 def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
@@ -90,8 +96,8 @@ def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
 
 
 def _merged(g: pd.DataFrame) -> list[tuple]:
-    """The classes of a chunk: node, least id, text."""
-    return sorted(((n, parsed(i), t) for n, i, t in zip(g["node"], g["least"], g["text"])), key=lambda x: x[0])
+    """The classes of a chunk: node, least id as text, text."""
+    return sorted(zip(g["node"], g["least"], g["text"]), key=lambda x: x[0])
 
 
 def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +145,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 shown = np.flatnonzero(c[order] > 1)
                 cols, at = s[order[shown]].view(np.int64).tolist(), shown.tolist()
             out.append([node, n, n_own, least, cols, at, text if cols else None])
-        d = pd.DataFrame(out, columns=["node", "n", "n_own", "least", "cols", "at", "text"], dtype=object)
-        d["least"] = pd.array(d["least"].tolist(), "Int64")
-        return tidied(d)
+        return tidied(pd.DataFrame(out, columns=["node", "n", "n_own", "least", "cols", "at", "text"]))
 
     replies = answered(rows.groupBy("chunk").applyInPandas(ask, REQUEST), buckets, total_count)
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(prefixes, CLASSES)
@@ -284,7 +288,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     """(doc_id, n_shingles, component_id) for each row of docs."""
     found = cut(classes(docs, shingle, percent))
     roots = linked_classes(found, shingle, percent)
-    named = found.where("node <> ''").select("node", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = found.where("node <> ''").select("node", "n", F.col("least").cast(id_kind(docs)).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(heavy_join(named, least, "root", "node").select("node", F.col("n").alias("n_shingles"), "component_id"))
     ids = _named(docs, False)

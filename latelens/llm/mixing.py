@@ -4,7 +4,11 @@ Every document gets the inclusion number target/size of its source: a whole part
 a fractional probability. Flight phase: within blocks of a source the fractional probabilities walk
 through the null space of the balancing constraints (number of documents, number of tokens) until at
 most two per block are still open; the open ones of several blocks meet in the next level, until a
-source is one block. Landing phase: the last two or so are rounded to the nearest token total.
+source is one block. Landing phase: the last two or so are drawn by their probabilities, jointly so that the
+token total is expected to come nearest.
+
+Targets of few sources are shared out on the driver; those of more by sums over the table of sources, round by
+round, until no further source is full.
 
 Defined cases: a null or empty text has size 0 and is drawn like any other; a null source is a source
 of its own, last in order; repeated rows (and equal doc_ids) are separate documents; an empty table
@@ -19,13 +23,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, heavy_join, stored
 
-#: Sources that a mix may have; their table is gathered, so more raise an error.
-MAX_SOURCES = 100_000
+#: Sources whose table is gathered and broadcast; that of more stays distributed.
+FEW_SOURCES = 10_000
 #: Documents in a block of the first level, and blocks that meet in one block of the next.
 BLOCK, FAN = 4_000, 4_000
 EPS = 1e-9
@@ -48,16 +52,44 @@ def targets(sizes: list[float], weights: list[float], total: float, most: float)
     return out
 
 
+def _ranked_sources(t: DataFrame) -> DataFrame:
+    """t(source, ...) with each source's rank in code-point order, null last."""
+    edges = t.where("source is not null").sample(min(1.0, FEW_SOURCES / max(1, t.count())), 7).select("source").limit(2 * FEW_SOURCES).collect()
+    step = max(1, len(edges) // 64)
+    edges = sorted({r.source for r in edges}, key=lambda x: x.encode())[::step]
+    part = F.when(F.col("source").isNull(), F.lit(len(edges) + 1)).otherwise(sum((F.when(F.col("source") >= e, 1).otherwise(0) for e in edges), F.lit(0)))
+    t = t.withColumn("__part", part)
+    start, rows = 0, []
+    for r in sorted(t.groupBy("__part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["__part"]):
+        rows.append((r["__part"], start))
+        start += r["n"]
+    starts = F.create_map(*[F.lit(x) for r in rows for x in r])
+    own = Window.partitionBy("__part").orderBy("source")
+    return t.withColumn("rank", F.row_number().over(own) - 1 + starts[F.col("__part")]).drop("__part")
+
+
 def source_targets(sized: DataFrame, weights: Iterable[float], share: float, most: float) -> DataFrame:
     """(source, source_size, target) for the sources of sized(source, size), in code-point order, null last."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"a mix takes at most {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes, w = [r.source_size for r in rows], list(weights) or [1]
-    got = targets(sizes, [w[i % len(w)] for i in range(len(rows))], share * sum(sizes), most)
-    data = [(r.source, r.source_size, t) for r, t in zip(rows, got)]
-    return sized.sparkSession.createDataFrame(data, "source string, source_size long, target double")
+    w = list(weights) or [1]
+    t = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    schema = "source string, source_size long, target double"
+    if t.count() <= FEW_SOURCES:
+        rows = sorted(t.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
+        sizes = [r.source_size for r in rows]
+        got = targets(sizes, [w[i % len(w)] for i in range(len(rows))], share * sum(sizes), most)
+        return sized.sparkSession.createDataFrame([(r.source, r.source_size, x) for r, x in zip(rows, got)], schema)
+    weight = F.array(*[F.lit(float(x)) for x in w])[(F.col("rank") % len(w)).cast("int")]
+    t = stored(_ranked_sources(t).select("source", "source_size", weight.alias("weight")))
+    total = share * (t.agg(F.sum("source_size")).first()[0] or 0)
+    left, open_, full = total, t.agg(F.sum("weight")).first()[0], F.lit(False)
+    while open_:
+        full = full | (F.lit(left) * F.col("weight") / F.lit(open_) >= F.lit(most) * F.col("source_size"))
+        r = t.agg(F.sum(F.when(full, F.col("source_size"))).alias("cap"), F.sum(F.when(~full, F.col("weight"))).alias("w")).first()
+        before, left, open_ = (left, open_), total - most * (r["cap"] or 0), r["w"] or 0.0
+        if (left, open_) == before:
+            break
+    own = F.lit(left) * F.col("weight") / F.lit(open_ or 1.0)
+    return t.select("source", "source_size", F.when(full, F.lit(float(most)) * F.col("source_size")).otherwise(own).cast("double").alias("target"))
 
 
 def _draws(seed: str) -> "np.random.Generator":
@@ -97,17 +129,22 @@ def flight(p: np.ndarray, size: np.ndarray, seed: str) -> np.ndarray:
     return np.where(out < EPS, 0.0, np.where(out > 1 - EPS, 1.0, out))
 
 
-def landed(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The few open probabilities rounded so that the token total comes nearest, then the document total."""
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    best, chosen = None, 0
-    for bits in range(1 << len(open_)):
-        take = np.array([(bits >> k) & 1 for k in range(len(open_))], dtype=float)
-        miss = (abs(float(((take - p[open_]) * size[open_]).sum())), abs(float((take - p[open_]).sum())), bits)
-        if best is None or miss < best:
-            best, chosen = miss, bits
-    out = p.copy()
-    out[open_] = [(chosen >> k) & 1 for k in range(len(open_))]
+def landed(p: np.ndarray, size: np.ndarray, u: float) -> np.ndarray:
+    """The few open probabilities drawn by u in (0, 1): each by its own probability, two of them jointly so that
+    the token total is expected to come nearest."""
+    out, open_ = p.copy(), np.flatnonzero((p > 0) & (p < 1)).tolist()
+    while open_:
+        a, b = open_[0], open_[1] if len(open_) > 1 else None
+        open_ = open_[2:]
+        if b is None:
+            out[a] = float(u < p[a])
+            continue
+        miss = lambda x, y: abs((x - p[a]) * size[a] + (y - p[b]) * size[b])
+        # the chance of both, between what their probabilities admit: the cost is linear in it
+        low, high = max(0.0, p[a] + p[b] - 1), min(p[a], p[b])
+        both = high if miss(1, 1) + miss(0, 0) < miss(1, 0) + miss(0, 1) else low
+        out[a], out[b] = (1, 1) if u < both else (1, 0) if u < p[a] else (0, 1) if u < p[a] + p[b] - both else (0, 0)
+        u = (u * 7919.0) % 1.0
     return out
 
 
@@ -115,8 +152,11 @@ def with_targets(docs: DataFrame, size: Column, weights=(3, 1, 2), share: float
     """(doc_id, source, size, source_size, target, __sure, __p) for each row of docs."""
     sized = docs.withColumn("size", size.cast("long"))
     t = source_targets(sized.select("source", "size"), weights, share, most)
-    t = t.withColumnRenamed("source", "__source")
-    d = sized.drop("source_size", "target").join(F.broadcast(t), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    t = t.withColumn("__name", name).drop("source")
+    d = sized.drop("source_size", "target").withColumn("__name", name)
+    few = t.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    d = (d.join(F.broadcast(t), "__name") if few else heavy_join(d, t, "__name", "doc_id")).drop("__name")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     d = d.withColumn("__sure", F.floor(ratio + EPS))
     return d.withColumn("__p", F.greatest(F.lit(0.0), ratio - F.col("__sure")))
@@ -141,8 +181,9 @@ def cube(d: DataFrame, seed: str = "mix-1") -> DataFrame:
             # large documents first: those that stay open for landing are the small ones
             order = g[["size", "doc_id"]].assign(h=pd.util.hash_array(g["doc_id"].astype(str).to_numpy(dtype=object))).sort_values(["size", "h"], ascending=[False, True], kind="stable").index
             g = g.loc[order].reset_index(drop=True)
-            p = flight(g["__p"].to_numpy(), g["size"].to_numpy(), f"{seed}|{key[0]}|{int(key[1])}")
-            g["__p"] = landed(p, g["size"].to_numpy()) if last else p
+            own = f"{seed}|{key[0]}|{int(key[1])}"
+            p = flight(g["__p"].to_numpy(), g["size"].to_numpy(), own)
+            g["__p"] = landed(p, g["size"].to_numpy(), float(_draws(f"{own}|landing").random())) if last else p
             return g[cols]
 
         return run
@@ -162,10 +203,11 @@ def cube(d: DataFrame, seed: str = "mix-1") -> DataFrame:
 def mixed_rows(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken.
 
-    Rows are told apart by their content. Equal rows share what they were dealt: each is repeated by
+    Rows are told apart by 128 bits of a hash of their content. Equal rows share what they were dealt: each is repeated by
     the whole part, and one of them by the rest too."""
     columns = docs.columns
-    d = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    every = [F.col(f"`{c}`") for c in columns]
+    d = docs.withColumn("__key", F.concat_ws(":", *[F.xxhash64(F.lit(k), *every, *[c.isNull() for c in every]) for k in (1, 2)]))
     light = d.select(F.col("__key").alias("doc_id"), "source", size.cast("long").alias("__size"))
     dealt = cube(with_targets(light, F.col("__size"), **options).select("doc_id", "source", "size", "__sure", "__p"))
     dealt = cut(dealt.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__m")))

@@ -4,7 +4,9 @@ Validated numbers and dates (payment cards by Luhn, phone numbers, social securi
 addresses, IBANs by their remainder, calendar dates), email addresses and access keys are found by
 pattern and check (values of access keys at any length, up to dots that end them), and replaced by a keyed permutation of their own format: a Feistel network on a
 mixed-radix domain with cycle walking, so equal values get equal pseudonyms in every document, and
-different values stay different. Layout (separators, letter case, length) stays as it is.
+different values stay different. Layout (separators, letter case, length) stays as it is, and plays no part
+in the permutation: a number, date or address gets the same pseudonym in any of its layouts. The key is
+the caller's.
 
 Cards, IBANs and international numbers can stand beside other digits or capital words: every length that
 their pattern admits is tried at every start. Of valid spans that overlap, those of a card brand's or
@@ -30,7 +32,8 @@ from pyspark.sql import types as T
 
 from .common import tidied
 
-KEY = "pseudonym-key-1"
+#: The key of the registered query alone, which has to give the same result in every run.
+QUERY_KEY = "pseudonym-key-1"
 #: Texts of a batch that are Python's at a time.
 TOGETHER = 256
 ROUNDS = 8
@@ -117,6 +120,8 @@ def _intl(s: str, key: bytes) -> str | None:
     if not _intl_ok(s):
         return None
     d = _digits(s)
+    if len(d) == 11 and d[0] == "1" and d[1] not in "01":
+        return _phone(s, key)
     return _relaid(s, d[:2] + _walk(d[2:], "intl" + d[:2], key, lambda x: True))
 
 
@@ -150,7 +155,9 @@ def _day(y: str, m: str, d: str) -> int | None:
 
 
 def _date(s: str, key: bytes) -> str | None:
-    """Year, day or month first; month first only where the day can't be a month, before and after."""
+    """Year, day or month first; month first only where the day can't be a month.
+
+    Days that can be months and others are permuted apart, so that a layout says the same before and after."""
     year_first = s[4] in "-/."
     a, b, c = (s[:4], s[5:7], s[8:]) if year_first else (s[6:], s[3:5], s[:2])
     layout, n = ("%Y%m%d" if year_first else "%d%m%Y"), _day(a, b, c)
@@ -158,10 +165,11 @@ def _date(s: str, key: bytes) -> str | None:
         layout, n = "%m%d%Y", _day(a, c, b)
     if n is None:
         return None
+    late = dt.date.fromordinal(n).day > 12
     while True:
         n = FIRST + permuted(n - FIRST, LAST - FIRST + 1, "date", key)
         new = dt.date.fromordinal(n)
-        if layout != "%m%d%Y" or new.day > 12:
+        if (new.day > 12) == late:
             return _relaid(s, new.strftime(layout))
 
 
@@ -231,9 +239,10 @@ def _block(s: str, kind: str, key: bytes) -> str:
 
 
 def _email(s: str, key: bytes) -> str | None:
-    local, _, domain = s.rpartition("@")
+    local, _, domain = s.lower().rpartition("@")
     host, dot, top = domain.partition(".")
-    return f"{_letters(local, 'email', key)}@{_letters(host, 'host', key)}{dot}{top}"
+    new = f"{_letters(local, 'email', key)}@{_letters(host, 'host', key)}{dot}{top}"
+    return "".join(b.upper() if a.isupper() else b for a, b in zip(s, new))
 
 
 def _secret(s: str, key: bytes) -> str | None:
@@ -287,7 +296,7 @@ def _spans(text: str, kind: str, pattern: re.Pattern) -> list[tuple[int, int]]:
     return sorted(out, key=lambda x: (not known(text[slice(*x)]), x[0] - x[1], x[0]))
 
 
-def pseudonymised(text: str, key: str = KEY) -> tuple[str, list[str]]:
+def pseudonymised(text: str, key: str) -> tuple[str, list[str]]:
     """The text with pseudonyms for all finds, and the kinds found in order of place."""
     if not HINT.search(text):
         return text, []
@@ -318,7 +327,7 @@ def pseudonymised(text: str, key: str = KEY) -> tuple[str, list[str]]:
     return "".join(out) + text[at:], [x[2] for x in sorted(kept)]
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, counts: bool = True) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
     """df with its text pseudonymised, n_pii (long) and pii_kinds (array of strings).
 
     Without counts the columns are df's own. Other columns pass as they are, in Arrow batches."""
@@ -345,4 +354,4 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, counts: bool
 def op10_pii(spark, sf_dir):
     from .common import table
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)

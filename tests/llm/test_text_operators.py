@@ -36,6 +36,35 @@ def test_targets_reshare_the_excess():
     assert mixing.targets([0, 10], [3, 1], 15, 2) == [0, 15]
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"s{k:03d}" if k else None, rng.choice([0, 1, 7, 500, 90_000])) for k in range(200) for _ in range(2)] + [("ä", 3), ("Z", 1)]
+    sized = spark.createDataFrame(rows, "source string, size long")
+    read = lambda t: {r.source: (r.source_size, r.target) for r in t.collect()}
+    few = read(mixing.source_targets(sized, (3, 1, 2), 1.5, 2))
+    sizes: Counter = Counter()
+    for k, n in rows:
+        sizes[k] += n
+    order = sorted((k for k in sizes if k is not None), key=lambda k: k.encode()) + [None]
+    want = mixing.targets([sizes[k] for k in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()), 2)
+    assert few == {k: (sizes[k], t) for k, t in zip(order, want)}
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 5)
+    many = read(mixing.source_targets(sized, (3, 1, 2), 1.5, 2))
+    assert {k: v[0] for k, v in many.items()} == {k: v[0] for k, v in few.items()}
+    assert all(many[k][1] == pytest.approx(few[k][1], rel=1e-12) for k in few)
+    docs = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(rows)], "doc_id long, source string, n long")
+    out = mixing.cube(mixing.with_targets(docs, F.col("n")).select("doc_id", "source", "size", "target", "__sure", "__p")).collect()
+    assert len(out) == len(rows) and all(0 <= r.copies <= 2 for r in out)
+
+
+def test_landing_follows_the_probabilities():
+    rng, total, p, size = np.random.default_rng(2), np.zeros(2), np.array([0.3, 0.6]), np.array([5.0, 9.0])
+    for _ in range(20_000):
+        total += mixing.landed(p, size, rng.random())
+    assert np.abs(total / 20_000 - p).max() < 0.015
+    assert mixing.landed(np.array([1.0, 0.0, 0.5]), np.ones(3), 0.1).tolist() == [1, 0, 1]
+
+
 def test_flight_keeps_balance():
     rng = np.random.default_rng(2)
     p, s = rng.uniform(0, 1, 500), rng.integers(0, 900, 500).astype(float)
@@ -392,6 +421,10 @@ def test_bpe_query(spark, sf, odd, empty):
 # ---- PII -----------------------------------------------------------------------------------------------
 
 
+def hidden(text, key=pii.QUERY_KEY):
+    return pii.pseudonymised(text, key)
+
+
 def test_permutations():
     for size in (1, 2, 10, 1000, 73_049):
         assert sorted(pii.permuted(x, size, "k", b"key") for x in range(size)) == list(range(size))
@@ -408,19 +441,19 @@ def test_formats_are_kept(kind):
     import re
 
     value = SAMPLES[kind]  # several dates, told apart by spaces
-    a, kinds = pii.pseudonymised(f"x {value} y {value}, z")
+    a, kinds = hidden(f"x {value} y {value}, z")
     new = a.split(" ", 1)[1].split(" y ")[0]
     kind = kind.strip()
     assert kinds == [kind, kind] and value not in a and a == f"x {new} y {new}, z"
-    assert pii.pseudonymised(f"x {new} y")[1] == [kind]  # still valid
+    assert hidden(f"x {new} y")[1] == [kind]  # still valid
     if kind != "ip":
         assert re.sub(r"[0-9]", "0", re.sub("[A-Za-z]", "a", new)) == re.sub(r"[0-9]", "0", re.sub("[A-Za-z]", "a", value))
-    assert pii.pseudonymised(value, "other key")[0] != new
+    assert hidden(value, "other key")[0] != new
 
 
 @pytest.mark.parametrize("text", ["version 2.0.", "1.2.3", "300.1.1.1", "4962251213359605", "2020-02-30", "000-12-3456", "at 12:30, 1,234,567 men", "a@b", "no digits"])
 def test_clean_texts_stay(text):
-    assert pii.pseudonymised(text) == (text, [])
+    assert hidden(text) == (text, [])
 
 
 CARD, IBAN = "4111 1111 1111 1111", "BE68 5390 0754 7034"
@@ -434,8 +467,8 @@ CARD, IBAN = "4111 1111 1111 1111", "BE68 5390 0754 7034"
     + [("BE68539007547034", "AB12 ", " EUR"), ("+32 475 12 34 56", "", " 2024-05-01")],
 )
 def test_finds_beside_digits_and_words(value, before, after):
-    alone, kinds = pii.pseudonymised(value)
-    got, found = pii.pseudonymised(before + value + after)
+    alone, kinds = hidden(value)
+    got, found = hidden(before + value + after)
     assert len(kinds) == 1 and alone != value and kinds[0] in found
     assert got[len(before) : len(before) + len(value)] == alone
 
@@ -446,22 +479,94 @@ def test_secrets_of_any_length(n):
     letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n - 1)) + "7"
     dotted = "".join("." if 0 < i < n - 1 and i % 37 == 5 else c for i, c in enumerate(letters))
     for value, text in [(letters, f"token={letters}"), (dotted, f"see password: {dotted}. Next"), *([(letters, f"x sk-{letters} y")] if n >= 64 else [])]:
-        got, kinds = pii.pseudonymised(text)
+        got, kinds = hidden(text)
         assert kinds == ["secret"] and len(got) == len(text)
         at = text.index(value)
         assert got[:at] == text[:at] and got[at + n :] == text[at + n :]
         assert all(got[i : i + 8] != text[i : i + 8] for i in range(at + 1, at + n - 8)) and [c == "." for c in got] == [c == "." for c in text]
-        other = pii.pseudonymised(text.replace(value, ("b" if value[0] == "a" else "a") + value[1:]))[0]
-        assert other != got and pii.pseudonymised(f"{text} {text}")[0] == f"{got} {got}"
+        other = hidden(text.replace(value, ("b" if value[0] == "a" else "a") + value[1:]))[0]
+        assert other != got and hidden(f"{text} {text}")[0] == f"{got} {got}"
+
+
+@pytest.mark.parametrize(
+    "layouts",
+    [("415-555-1234", "(415) 555-1234", "415.555.1234", "+1 415 555 1234", "+14155551234", "+1-415-555-1234"), ("2020-01-25", "2020/01/25", "25.01.2020", "25/01/2020", "01/25/2020"),
+     ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"), ("BE68 5390 0754 7034", "BE68539007547034"), ("john.doe@mail.example.com", "John.Doe@mail.example.com", "JOHN.DOE@Mail.Example.com")],
+)
+def test_layouts_stay_linked(layouts):
+    import re
+
+    def value(s):
+        if m := re.fullmatch(r"([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})", s):
+            return m[1] + m[2] + m[3]
+        if m := re.fullmatch(r"([0-9]{2})([./])([0-9]{2})[./]([0-9]{4})", s):
+            day, month = (m[1], m[3]) if int(m[1]) > 12 else (m[3], m[1])
+            return m[4] + month + day
+        s = re.sub(r"[^a-z0-9@]", "", s.lower())
+        return s[-10:] if s.isdigit() and len(s) in (10, 11) else s
+
+    assert len({value(x) for x in layouts}) == 1
+    out = [hidden(x) for x in layouts]
+    assert len({value(x) for x, _ in out}) == 1 and all(len(kinds) == 1 for _, kinds in out)
+    assert [[c.isupper() for c in x] for x in layouts] == [[c.isupper() for c in x] for x, _ in out] and value(out[0][0]) != value(layouts[0])
+
+
+def test_dates_are_permuted():
+    import datetime as dt
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(800)]
+    out = [hidden(d.isoformat())[0] for d in days]
+    assert len(set(out)) == len(days) and all((dt.date.fromisoformat(x).day > 12) == (d.day > 12) for x, d in zip(out, days))
+
+
+def test_many_finds_take_linear_time():
+    import time
+
+    text = lambda n: " ".join(f"a{k}@b{k}.example.org 4111 1111 1111 1111 {k} 078-05-1120" for k in range(n))
+    seconds = []
+    for n in (2_000, 16_000):
+        t, begin = text(n), time.process_time()
+        assert len(hidden(t)[1]) >= 3 * n
+        seconds.append(time.process_time() - begin)
+    assert seconds[1] < 20 * seconds[0]
+
+
+def test_pii_of_tables_by_other_rules(spark, sf):
+    """Values of the kinds that the table holds, found by plain rules of their own, change everywhere, alike, and nothing else does."""
+    import ipaddress
+    import re
+
+    def ip(s):
+        try:
+            return bool(ipaddress.IPv4Address(s))
+        except ValueError:
+            return False
+
+    plain = [
+        (re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), lambda s: True), (re.compile(r"(?<![\d.])\d+\.\d+\.\d+\.\d+(?!\d|\.\d)"), ip),
+        (re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_\w{36}\b"), lambda s: True), (re.compile(r"(?<!\d)\d{13,19}(?!\d)"), lambda s: pii.luhn_ok(s) and s[0] in "23456" and len(set(s)) > 1),
+    ]
+    out = {r.doc_id: (r.text or "", r.n_pii) for r in pii.op10_pii(spark, sf).collect()}
+    images, n = {}, 0
+    for i, t in docs_of(spark, sf):
+        a, b = (t or "").split(" "), out[i][0].split(" ")
+        assert len(a) == len(b) and ((t or "") == out[i][0]) == (out[i][1] == 0)
+        for x, y in zip(a, b):
+            found = [m[0] for p, ok in plain for m in p.finditer(x) if ok(m[0])]
+            n += len(found)
+            assert not any(f in y for f in found)
+            if len(found) == 1 and found[0] == x:
+                assert images.setdefault(x, y) == y
+    assert n > 10 and len(set(images.values())) == len(images)
 
 
 def test_pii_of_tables(spark, sf, odd, empty):
     r = pii.op10_pii(spark, sf).collect()
-    want = {i: pii.pseudonymised(t) if t is not None else (None, []) for i, t in docs_of(spark, sf)}
+    want = {i: hidden(t) if t is not None else (None, []) for i, t in docs_of(spark, sf)}
     assert {x.doc_id: (x.text, list(x.pii_kinds)) for x in r} == want and all(x.n_pii == len(x.pii_kinds) for x in r)
-    got = pii.pseudonymise(odd, counts=False)
+    got = pii.pseudonymise(odd, "key", counts=False)
     assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, "key").count() == 0
 
 
 # ---- HTML ----------------------------------------------------------------------------------------------
