@@ -13,7 +13,7 @@ from latelens.llm.bpe import default_path, encode
 from latelens.llm.common import WORD, cut, table
 from latelens.llm.jaccard import jaccard_groups
 from latelens.llm.mixing import mixed_rows
-from latelens.llm.pii import pseudonymise
+from latelens.llm.pii import QUERY_KEY, pseudonymise
 from latelens.llm.quality import quality_rules
 
 
@@ -35,9 +35,9 @@ def _sized(docs: DataFrame):
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of five-word similarity of 0.8 or more: the one of least doc_id, null ids last.
 
-    Each distinct doc_id and text is a document of its own, known by a hash of both. Texts without words
+    Each distinct doc_id and text is a document of its own, known by 128 bits of a hash of both. Texts without words
     link with nothing: such rows of null doc_id all stay, of others one of each doc_id and text."""
-    key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull())
+    key = F.concat_ws(":", *[F.xxhash64(F.lit(k), "doc_id", "text", F.col("doc_id").isNull()) for k in (1, 2)])
     groups = cut(jaccard_groups(docs.select(key.alias("doc_id"), "text"), shingle=5, percent=80).withColumnRenamed("doc_id", "__id").distinct())
     given = docs.select(key.alias("__id"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("length")).distinct()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.col("length"), "__id", (F.col("doc_id").isNull() & (F.col("n_shingles") == 0)).alias("all"))
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data."""
-    return pseudonymise(docs, counts=False).transform(_sized(docs))
+    return pseudonymise(docs, QUERY_KEY, counts=False).transform(_sized(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
