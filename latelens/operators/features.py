@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latelens.functions.hashing import categorical_bucket
 from latelens.functions.numeric import log1p_or_null, standardised
+from latelens.sources.scratch import stored
 
 
 def prior_counts(clicks: DataFrame, keys: dict[str, str], order: tuple[str, ...] = ("click_time", "click_id")) -> DataFrame:
@@ -23,28 +24,28 @@ def prior_counts(clicks: DataFrame, keys: dict[str, str], order: tuple[str, ...]
 def nearest_quantiles(df: DataFrame, value: Column, quantiles: tuple[float, ...]) -> dict[float, float]:
     """Quantiles by the nearest rank (half away from zero), exact.
 
-    The sort is distributed; only the picked ranks come back."""
-    d = df.select(value.alias("v")).where("v is not null")
-    n = d.count()
-    if not n:
+    Equal values are counted first; the counts are dealt to ranges and written, so that the ranges that are
+    counted are those that are looked into. Only counts of ranges and the picked values come back."""
+    g = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("k"))
+    d = stored(g.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r["part"], r["n"]) for r in d.groupBy("part").agg(F.sum("k").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
         return dict.fromkeys(quantiles)
-    rank = {q: int((n - 1) * q + 0.5) for q in quantiles}
-    d = d.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    sizes = {r["part"]: r["n"] for r in d.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    start, begin = 0, {}
-    for p in sorted(sizes):
-        begin[p], start = start, start + sizes[p]
-    wanted = {}
-    for q, r in rank.items():
-        p = max(p for p in begin if begin[p] <= r)
-        wanted[q] = (p, r - begin[p])
-    places = {x for x in wanted.values()}
-    own = Window.partitionBy("part").orderBy("v")
-    picked = d.where(F.col("part").isin(*{p for p, _ in places})).withColumn("i", F.row_number().over(own) - 1)
-    cond = F.lit(False)
-    for p, i in places:
-        cond = cond | ((F.col("part") == p) & (F.col("i") == i))
-    got = {(r["part"], r["i"]): r["v"] for r in picked.where(cond).collect()}
+    wanted: dict[float, tuple[int, int]] = {}
+    for q in quantiles:
+        rank = int((total - 1) * q + 0.5)
+        for part, n in sizes:
+            if rank < n:
+                wanted[q] = (part, rank)
+                break
+            rank -= n
+    places = sorted(set(wanted.values()))
+    upto = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    picked = d.where(F.col("part").isin([p for p, _ in places])).withColumn("upto", F.sum("k").over(upto))
+    asked = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).cast("long").alias("i")) for p, i in places])).alias("x")
+    hit = picked.select("*", asked).where("part = x.p and x.i < upto and x.i >= upto - k")
+    got = {(r["p"], r["i"]): r["v"] for r in hit.select("x.p", "x.i", "v").collect()}
     return {q: got[wanted[q]] for q in quantiles}
 
 

@@ -11,9 +11,14 @@ NUMBERS = ("SalesAmountInEuro", "time_delay_for_conversion", "click_timestamp",
 MULTIPLIERS = (1.0, 1e-3, 1e-6, 1e-9)
 
 
+#: A number as text: digits with single underscores between them, a point, an exponent; or nan or an infinity.
+NUMBER = r"^[+-]?(?:(?:D\.?(?:D)?|\.D)(?:[eE][+-]?D)?|[nN][aA][nN]|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)$".replace("D", "[0-9]+(?:_[0-9]+)*")
+
+
 def number(c: Column) -> Column:
     """A float where the text is one, else null; nan and infinities stay."""
-    return F.regexp_replace(F.trim(c), "_(?=[0-9])", "").try_cast("double")
+    s = F.trim(c)
+    return F.when(s.rlike(NUMBER), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def is_finite(x: Column) -> Column:
@@ -28,7 +33,7 @@ def sale_of(c: Column) -> Column:
 
 
 def reason_codes(df: DataFrame, fields: list[str], n_fields: Column | None = None) -> DataFrame:
-    """df with reasons (ordered, distinct), sale_flag and the parsed numbers.
+    """df with reasons (ordered, distinct), failing_fields (ordered, distinct), sale_flag and the parsed numbers.
 
     n_fields: how many fields the line had, where it was split from text; a wrong count is the only
     reason then. Columns absent from df are taken as valid."""
@@ -38,24 +43,23 @@ def reason_codes(df: DataFrame, fields: list[str], n_fields: Column | None = Non
         d = d.withColumn(f"{f}__n", number(F.col(f)))
     n = lambda f: F.col(f"{f}__n")
     fin = lambda f: n(f).isNotNull() & is_finite(n(f))
-    rules = [("INVALID_SALE", F.col("sale_flag") == -1)]
+    rules = [("INVALID_SALE", "Sale", F.col("sale_flag") == -1)]
     for f in own:
-        rules += [("INVALID_NUMBER", n(f).isNull()), ("NONFINITE_NUMBER", n(f).isNotNull() & ~is_finite(n(f)))]
-    blank = F.lit(False)
-    for f in fields:
-        blank = blank | F.coalesce(F.col(f).rlike(BLANK), F.lit(True))
-    rules.append(("EMPTY_FIELD", blank))
-    rules.append(("MISSING_OR_NEGATIVE_CLICK_TIME", fin("click_timestamp") & (n("click_timestamp") <= 0)))
-    for f in ("nb_clicks_1week", "product_price"):
-        if f in own:
-            rules.append(("INVALID_NEGATIVE_VALUE", fin(f) & (n(f) < -1)))
+        rules += [("INVALID_NUMBER", f, n(f).isNull()), ("NONFINITE_NUMBER", f, n(f).isNotNull() & ~is_finite(n(f)))]
+    rules += [("EMPTY_FIELD", f, F.coalesce(F.col(f).rlike(BLANK), F.lit(True))) for f in fields]
+    rules.append(("MISSING_OR_NEGATIVE_CLICK_TIME", "click_timestamp", fin("click_timestamp") & (n("click_timestamp") <= 0)))
+    rules += [("INVALID_NEGATIVE_VALUE", f, fin(f) & (n(f) < -1)) for f in ("nb_clicks_1week", "product_price") if f in own]
     for code, f in (("SALE_AMOUNT_INCONSISTENT", "SalesAmountInEuro"), ("SALE_DELAY_INCONSISTENT", "time_delay_for_conversion")):
         if f in own:
-            rules.append((code, fin(f) & (((F.col("sale_flag") == 0) & (n(f) != -1)) | ((F.col("sale_flag") == 1) & (n(f) < 0)))))
-    found = F.array_distinct(F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(c)) for c, r in rules]), lambda x: x.isNotNull()))
+            rules.append((code, f, fin(f) & (((F.col("sale_flag") == 0) & (n(f) != -1)) | ((F.col("sale_flag") == 1) & (n(f) < 0)))))
+    broken = F.array(*[F.when(F.coalesce(r, F.lit(False)), F.struct(F.lit(c).alias("code"), F.lit(f).alias("field"))) for c, f, r in rules])
     if n_fields is not None:
-        found = F.when(n_fields != len(fields), F.array(F.lit("FIELD_COUNT"))).otherwise(found)
-    return d.withColumn("reasons", found)
+        count = F.struct(F.lit("FIELD_COUNT").alias("code"), F.lit(None).cast("string").alias("field"))
+        broken = F.when(n_fields != len(fields), F.array(count)).otherwise(broken)
+    d = d.withColumn("__broken", F.filter(broken, lambda x: x.isNotNull()))
+    d = d.withColumn("reasons", F.array_distinct(F.transform("__broken", lambda x: x["code"])))
+    failing = F.filter(F.transform("__broken", lambda x: x["field"]), lambda x: x.isNotNull())
+    return d.withColumn("failing_fields", F.array_distinct(failing)).drop("__broken")
 
 
 def split_rows(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,8 +95,28 @@ def profile(validated: DataFrame) -> DataFrame:
     )
 
 
+#: The reason codes, in the order of the rules.
+CODES = (
+    "FIELD_COUNT", "INVALID_SALE", "INVALID_NUMBER", "NONFINITE_NUMBER", "EMPTY_FIELD", "MISSING_OR_NEGATIVE_CLICK_TIME",
+    "INVALID_NEGATIVE_VALUE", "SALE_AMOUNT_INCONSISTENT", "SALE_DELAY_INCONSISTENT",
+)
+
+
+def _histogram(validated: DataFrame, column: str, values: list[str], name: str) -> DataFrame:
+    """(name, n) of the values that column's arrays hold: one row of counts, turned; exploding a made array would
+    have its rules repeated in the filter that the optimiser infers."""
+    counts = validated.agg(*[F.count_if(F.array_contains(column, v)).alias(f"c{i}") for i, v in enumerate(values)])
+    pairs = F.array(*[F.struct(F.lit(v).alias(name), F.col(f"c{i}").alias("n")) for i, v in enumerate(values)])
+    return counts.select(F.inline(pairs)).where("n > 0")
+
+
 def reason_histogram(validated: DataFrame) -> DataFrame:
-    return validated.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return _histogram(validated, "reasons", list(CODES), "reason")
+
+
+def field_histogram(validated: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, n): rows that fail in each field."""
+    return _histogram(validated, "failing_fields", list(fields), "field")
 
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -61,15 +61,19 @@ def budget(exposures: DataFrame, steps: int, batch: int) -> DataFrame:
 
 
 def ordered_digest(df: DataFrame, order: list[str], value: str, block: int = 10_000) -> DataFrame:
-    """A digest of a column in order: digests of blocks of rows, folded into one.
-
-    Rows are ranked by range partitions and digested block by block; only block digests meet."""
-    from .sampling import _ranked
-
-    d = _ranked(df.select(*order, F.col(value).alias("__v")).orderBy(*order))
-    blocks = d.groupBy(F.floor(F.col("rank") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("__v").cast("string").alias("v")))).alias("x"))
-    blocks = blocks.select("b", F.sha2(F.array_join(F.transform("x", lambda r: r["v"]), ""), 256).alias("h"))
-    return blocks.agg(F.sort_array(F.collect_list(F.struct("b", "h"))).alias("x")).select(F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256).alias("digest"))
+    """A digest of a column in order: digests of blocks of rows, and of blocks of these, until one is left.
+
+    Rows are ranked by ranges; no cell holds more than a block. Of no rows it is the digest of nothing."""
+    from .sampling import ranked
+
+    d = ranked(df.select(*order, F.col(value).cast("string").alias("h")), order).select("rank", "h")
+    left, folds = max(1, df.count()), 0
+    while left > 1 or folds < 2:
+        x = F.sort_array(F.collect_list(F.struct("rank", F.coalesce("h", F.lit("")).alias("h"))))
+        d = d.groupBy(F.floor(F.col("rank") / block).alias("b")).agg(x.alias("x"))
+        d = d.select(F.col("b").alias("rank"), F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256).alias("h"))
+        left, folds = -(-left // block), folds + 1
+    return d.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def compute_fields(runs: DataFrame, keys: list[str], sums: list[str], maxima: list[str]) -> DataFrame:

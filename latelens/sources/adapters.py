@@ -35,7 +35,8 @@ def truth(spark: SparkSession, sf_dir: str, maturity: int = MATURITY) -> DataFra
     One pass per user over clicks and purchases in time order, no join of the two."""
     e = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
     e = e.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("product"), F.col("value").alias("price"), _micros("ts").alias("t"))
-    later = Window.partitionBy("user_id").orderBy("t").rangeBetween(1, Window.unboundedFollowing)
+    # latest first: a growing frame is summed up row by row, a shrinking one anew for each row
+    later = Window.partitionBy("user_id").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("next", F.min(F.when(F.col("event_type") == "purchase", F.col("t"))).over(later))
     won = F.coalesce(F.col("next") <= F.col("t") + maturity, F.lit(False))
     return e.where("event_type = 'click'").select(
