@@ -12,6 +12,7 @@ from latelens.operators import bootstrap, evaluation, features, ingest, strategi
 from latelens.plans import simulate as simulation
 from latelens.plans.config import DataConfig, FeaturePolicy, RunConfig
 from latelens.sources import readers, sinks
+from latelens.sources.scratch import stored
 
 DAY = 86_400
 
@@ -38,7 +39,7 @@ def inspect(spark: SparkSession, config: DataConfig) -> dict[str, DataFrame | di
     """Validated rows, their split, profiles, histograms, the time unit, day statistics and the horizon."""
     raw = readers.read_raw_text(spark, config.path, config.header, config.separator)
     fields = list(readers.FIELDS)
-    v = ingest.reason_codes(raw, fields, F.col("n_fields")).cache()
+    v = stored(ingest.reason_codes(raw, fields, F.col("n_fields")))
     accepted, quarantined = ingest.split_rows(v)
     p = ingest.profile(v).first()
     if not p.accepted:
@@ -49,6 +50,7 @@ def inspect(spark: SparkSession, config: DataConfig) -> dict[str, DataFrame | di
     return {
         "validated": v, "accepted": accepted, "quarantined": quarantined, "profile": p.asDict() | {"time_unit": unit},
         "fields": ingest.field_profile(raw.where(F.col("n_fields") == len(fields)), fields), "reasons": ingest.reason_histogram(v),
+        "failing": ingest.field_histogram(v, fields),
         "columns": raw.groupBy("n_fields").agg(F.count("*").alias("n")), "duplicates": ingest.duplicate_rows(raw, ["line"]),
         "days": ingest.day_stats(truth), "horizon": ingest.event_horizon(truth),
         "order": ingest.monotonic_violations(accepted, "raw_row_index", "click_timestamp__n"),
@@ -104,6 +106,7 @@ def evaluate(examples: DataFrame, min_rows: int = 10_000, min_positives: int = 1
     bad = evaluation.example_violations(examples).first().asDict()
     if any(bad.values()):
         raise DataError("INVALID_EXAMPLES", "examples break their invariants", **bad)
+    examples = stored(examples)
     r = evaluation.reliability(examples)
     return {
         "metrics": evaluation.point_metrics(examples), "ranking": evaluation.ranking_metrics(examples), "reliability": r,

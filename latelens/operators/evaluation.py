@@ -51,6 +51,12 @@ def calibration_error(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.abs(F.col("mean_probability") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
+def calibration_errors(df: DataFrame, keys: list[str], bins: int = 10, label: str = "final_label", p: str = "probability") -> DataFrame:
+    """The expected calibration error of each key."""
+    g = df.groupBy(*keys, probability_bin(F.col(p), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.avg(label).alias("rate"))
+    return g.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("mean") - F.col("rate"))) / F.sum("n")).alias("ece"))
+
+
 def calibration_fit(df: DataFrame, label: str = "final_label", p: str = "probability", rounds: int = 25, tol: float = 1e-10) -> tuple[float, float] | None:
     """Intercept and slope of the label on logit(p) by Newton steps of five sums each; null for one class.
 
@@ -89,19 +95,20 @@ def slice_rows(df: DataFrame) -> DataFrame:
     return df.select("final_label", "probability", F.explode(pairs).alias("s")).where("s.value is not null").select("s.dimension", "s.value", "final_label", "probability")
 
 
-#: Groups that are listed even when they are empty.
+#: Groups that are listed even when they are empty.
 DECLARED = {"cold_user": ("false", "true"), "cold_product": ("false", "true"), "user_frequency": ("0", "1-2", "3-9", "10+"), "product_frequency": ("0", "1-2", "3-9", "10+"), "product_price_bin": ("0", "1", "2", "3"), "positive_conversion_delay": ("[0,1)", "[1,3)", "[3,7)", "[7,14)", "[14,30]")}
 
 
 def slices(df: DataFrame, min_rows: int = 10_000, min_positives: int = 100) -> DataFrame:
     """Metrics per slice with suppression of small groups; counts always stay."""
-    g = point_metrics(slice_rows(df), ["dimension", "value"])
+    by, rows = ["dimension", "value"], slice_rows(df)
+    g = point_metrics(rows, by).join(ranking_metrics(rows, by), by, "left").join(calibration_errors(rows, by), by, "left")
     declared = df.sparkSession.createDataFrame([(k, v) for k, vs in DECLARED.items() for v in vs], "dimension string, value string")
     d = g.join(declared, ["dimension", "value"], "full_outer").withColumns({"n": F.coalesce("n", F.lit(0)), "positives": F.coalesce("positives", F.lit(0))})
     reason = F.when(F.col("n") == 0, "empty").when(F.col("n") < min_rows, "insufficient_examples").when(F.col("positives") < min_positives, "insufficient_positives")
     d = d.withColumn("reason", reason)
     shown = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
-    return d.select("dimension", "value", "n", "positives", shown("log_loss"), shown("brier"), "reason").orderBy("dimension", "value")
+    return d.select("dimension", "value", "n", "positives", *[shown(c) for c in ("log_loss", "brier", "pr_auc", "roc_auc", "ece")], "reason").orderBy("dimension", "value")
 
 
 def key_mismatch(predictions: DataFrame, labels: DataFrame, key: str = "click_id") -> DataFrame:
@@ -119,10 +126,12 @@ def paired(control: DataFrame, candidate: DataFrame, keys: tuple[str, ...] = ("s
 
 def pareto(table: DataFrame) -> DataFrame:
     """Methods that none beats in loss and in total examples at once."""
-    t, o = table.alias("t"), table.alias("o")
-    beaten = (F.col("o.log_loss") <= F.col("t.log_loss")) & (F.col("o.total_examples") <= F.col("t.total_examples"))
-    strict = (F.col("o.log_loss") < F.col("t.log_loss")) | (F.col("o.total_examples") < F.col("t.total_examples"))
-    return t.join(F.broadcast(o), beaten & strict & (F.col("o.method") != F.col("t.method")), "left_anti").orderBy("total_examples", "log_loss")
+    # by examples first, the least loss of fewer examples and of as many say whether any method beats one
+    g = table.groupBy("total_examples").agg(F.min("log_loss").alias("__own"))
+    fewer = Window.orderBy("total_examples").rowsBetween(Window.unboundedPreceding, -1)
+    best = g.withColumn("__fewer", F.min("__own").over(fewer))
+    kept = (F.col("log_loss") <= F.col("__own")) & (F.col("__fewer").isNull() | (F.col("log_loss") < F.col("__fewer")))
+    return table.join(best, "total_examples").where(kept).select(*table.columns).orderBy("total_examples", "log_loss")
 
 
 #: Fractions of the budget that are looked at.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from latelens.functions import numeric as N
 from latelens.functions.hashing import categorical_bucket, md5_number
 from latelens.operators import bootstrap, evaluation, eventtime, features, ingest, protocol, sampling, scheduling, strategies
+from latelens.sources.scratch import stored
 from latelens.sources.adapters import CLICKS_SQL, DAY, MATURITY, RAW_SQL, SCORES_SQL, TICK, click_log, origin, raw_log, scores, table, truth, with_day
 
 WAIT = DAY
@@ -404,7 +405,11 @@ def recent_split(spark, sf_dir):
     return sampling.recent(r, now, 3 * DAY).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("batch_sample")
+@query("batch_sample", _records_sql + f""", o as (select click_id, record_id, available_at, target, n.t as t, sha256('17:' || record_id) as p from r, n where available_at <= n.t),
+old as (select * from o where available_at < t - {3 * DAY} order by p, record_id limit 100),
+pool as (select 'recent' as pool, record_id, target from o where available_at >= t - {3 * DAY} union all select 'reservoir', record_id, target from old),
+k as (select *, row_number() over (partition by pool order by record_id) - 1 as rank, count(*) over (partition by pool) as c from pool)
+select d as draw, pool, record_id, target from k join range(0, 32) x(d) on rank = ('0x' || substr(md5('5:' || d), 1, 15))::bigint % c""")
 def batch_sample(spark, sf_dir):
     r, now = _sampler(spark, sf_dir)
     p = sampling.pools(r.select("click_id", "record_id", "available_at", "target"), now, 3 * DAY, 100, 17)
@@ -443,7 +448,7 @@ def calibration_error(spark, sf_dir):
 
 @query("calibration_fit")
 def calibration_fit(spark, sf_dir):
-    a, b = evaluation.calibration_fit(scores(spark, sf_dir).cache()) or (None, None)
+    a, b = evaluation.calibration_fit(stored(scores(spark, sf_dir).select("final_label", "probability"))) or (None, None)
     return spark.createDataFrame([(a, b)], "intercept double, slope double")
 
 
@@ -468,13 +473,20 @@ s as (select 'cold_user' as dimension, case when pu = 0 then 'true' else 'false'
  union all select 'device_type', 'd' || (user_id % 3), final_label, probability from e
  union all select 'click_day_block', (65 + (click_day - 15) // 5 * 5) || '-' || least(65 + (click_day - 15) // 5 * 5 + 4, 89), final_label, probability from e
  union all select 'positive_conversion_delay', case when dd < 1 then '[0,1)' when dd < 3 then '[1,3)' when dd < 7 then '[3,7)' when dd < 14 then '[7,14)' else '[14,30]' end, final_label, probability from e where final_label = 1),
-g as (select dimension, value, count(*) as n, sum(y)::bigint as positives, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as ll, avg((p - y) ** 2) as br from s group by 1, 2),
+g0 as (select dimension, value, count(*) as n, sum(y)::bigint as positives, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as ll, avg((p - y) ** 2) as br from s group by 1, 2),
+tie as (select dimension, value, p, sum(y) as pos, sum(1 - y) as neg from s group by 1, 2, 3),
+cum as (select *, sum(pos) over w as tp, sum(neg) over w as fp from tie window w as (partition by dimension, value order by p desc rows unbounded preceding)),
+rk as (select dimension, value, sum(pos * tp / (tp + fp)) / sum(pos) as pr, sum(neg * (tp - pos / 2.0)) / (sum(pos) * sum(neg)) as roc from cum group by 1, 2 having sum(pos) > 0 and sum(neg) > 0),
+bin as (select dimension, value, least(cast(floor(p * 10) as int), 9) as bin, count(*) as n, avg(p) as mp, avg(y) as rt from s group by 1, 2, 3),
+ce as (select dimension, value, sum(n * abs(mp - rt)) / sum(n) as ece from bin group by 1, 2),
+g as (select g0.*, rk.pr, rk.roc, ce.ece from g0 left join rk using (dimension, value) left join ce using (dimension, value)),
 dec as (select * from (values {', '.join(f"('{k}', '{v}')" for k, vs in evaluation.DECLARED.items() for v in vs)}) t(dimension, value)),
-f as (select coalesce(g.dimension, dec.dimension) as dimension, coalesce(g.value, dec.value) as value, coalesce(n, 0) as n, coalesce(positives, 0) as positives, ll, br from g full outer join dec on g.dimension = dec.dimension and g.value = dec.value),
+f as (select coalesce(g.dimension, dec.dimension) as dimension, coalesce(g.value, dec.value) as value, coalesce(n, 0) as n, coalesce(positives, 0) as positives, ll, br, pr, roc, ece from g full outer join dec on g.dimension = dec.dimension and g.value = dec.value),
 z as (select *, case when n = 0 then 'empty' when n < 50 then 'insufficient_examples' when positives < 10 then 'insufficient_positives' end as reason from f)
-select dimension, value, n, positives, case when reason is null then round(ll, 6) end as log_loss, case when reason is null then round(br, 6) end as brier, reason from z""")
+select dimension, value, n, positives, case when reason is null then round(ll, 6) end as log_loss, case when reason is null then round(br, 6) end as brier,
+  case when reason is null then round(pr, 6) end as pr_auc, case when reason is null then round(roc, 6) end as roc_auc, case when reason is null then round(ece, 6) end as ece, reason from z""")
 def slices(spark, sf_dir):
-    return evaluation.slices(_examples(spark, sf_dir), 50, 10).withColumns({"log_loss": r6("log_loss"), "brier": r6("brier")})
+    return evaluation.slices(_examples(spark, sf_dir), 50, 10).withColumns({c: r6(c) for c in ("log_loss", "brier", "pr_auc", "roc_auc", "ece")})
 
 
 @query("example_violations", "select 0::bigint as cold_user, 0::bigint as cold_product, 0::bigint as delay, 0::bigint as probability")
@@ -482,6 +494,21 @@ def example_violations(spark, sf_dir):
     return evaluation.example_violations(_examples(spark, sf_dir))
 
 
+@query("planted_example_violations", f"""with {SCORES_SQL}, x as (select click_id, click_day, final_label, row_number() over (partition by user_id order by click_time, click_id) = 1 as cu,
+  row_number() over (partition by product order by click_time, click_id) = 1 as cp from scored), e as (select * from x where click_day between 15 and 26)
+select count(*) filter (click_id % 5 = 0) as cold_user, count(*) filter (not cp and click_id % 7 = 0) as cold_product, count(*) filter (final_label = 1 and click_id % 3 = 0) as delay,
+  count(*) filter (click_id % 11 = 0 or click_id % 13 = 0) as probability from e""")
+def planted_example_violations(spark, sf_dir):
+    """Every fifth cold flag turned, some set, delays taken away, and probabilities above one or not a number."""
+    at = lambda k: F.col("click_id") % k == 0
+    e = _examples(spark, sf_dir).withColumns({
+        "cold_user": F.when(at(5), ~F.col("cold_user")).otherwise(F.col("cold_user")), "cold_product": F.col("cold_product") | at(7),
+        "conversion_delay_days": F.when(~at(3), F.col("conversion_delay_days")),
+        "probability": F.when(at(11), F.lit(1.5)).when(at(13), F.lit(float("nan"))).otherwise(F.col("probability")),
+    })
+    return evaluation.example_violations(e)
+
+
 @query("key_mismatch", f"with {CLICKS_SQL} select click_id, 'label' as missing from clicks where click_id not in (select o_orderkey from orders) union all select o_orderkey, 'prediction' from orders where o_orderkey not in (select click_id from clicks)")
 def key_mismatch(spark, sf_dir):
     return evaluation.key_mismatch(click_log(spark, sf_dir), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("click_id")))
@@ -529,12 +556,12 @@ def bootstrap_logloss(spark, sf_dir):
 
 
 @query("bootstrap_auc", f"""with {SCORES_SQL}, {_hashw}, g as (select replicate, probability as p, sum(final_label * weight) as pos, sum((1 - final_label) * weight) as neg from scored join hw on hw.click_day = scored.click_day - 15 where scored.click_day between 15 and 26 group by 1, 2),
-c as (select *, sum(pos) over (partition by replicate order by p desc rows unbounded preceding) as tp from g)
-select cast(replicate as int) as replicate, round(sum(neg * (tp - pos / 2.0)) / (sum(pos) * sum(neg)), 6) as roc_auc from c group by 1""")
+c as (select *, sum(pos) over w as tp, sum(neg) over w as fp from g window w as (partition by replicate order by p desc rows unbounded preceding))
+select cast(replicate as int) as replicate, round(sum(case when pos > 0 then pos * tp / (tp + fp) else 0 end) / sum(pos), 6) as pr_auc, round(sum(neg * (tp - pos / 2.0)) / (sum(pos) * sum(neg)), 6) as roc_auc from c group by 1""")
 def bootstrap_auc(spark, sf_dir):
     s = scores(spark, sf_dir).where("click_day between 15 and 26").withColumn("click_day", F.col("click_day") - 15)
     w = bootstrap.hashed_weights(spark, 12, 3, 200)
-    return bootstrap.replicate_auc(s, w, []).select("replicate", r6("roc_auc").alias("roc_auc"))
+    return bootstrap.replicate_auc(s, w, []).select("replicate", r6("pr_auc").alias("pr_auc"), r6("roc_auc").alias("roc_auc"))
 
 
 @query("bootstrap_interval", f"""with {SCORES_SQL}, {_hashw}, ds as (select click_day - 15 as click_day, count(*) as n, sum((probability - final_label) ** 2) as a, sum((other - final_label) ** 2) as b from scored where click_day between 15 and 26 group by 1),
@@ -647,7 +674,10 @@ def mean_over_seeds(spark, sf_dir):
     return d.withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
-@query("ordered_digest")
+@query("ordered_digest", f"""with {CLICKS_SQL}, r as (select click_id, row_number() over (order by click_time, click_id) - 1 as i from clicks),
+b as (select i // 10000 as b, sha256(string_agg(cast(click_id as varchar), '' order by i)) as h from r group by 1),
+c as (select b // 10000 as b, sha256(string_agg(h, '' order by b)) as h from b group by 1)
+select coalesce(max(h), sha256('')) as digest from c""")
 def ordered_digest(spark, sf_dir):
     return protocol.ordered_digest(click_log(spark, sf_dir), ["click_time", "click_id"], "click_id")
 
@@ -669,6 +699,40 @@ def truth_checks(spark, sf_dir):
     return protocol.union_all(both).agg(*[F.sum(c).alias(c) for c in both[0].columns])
 
 
+@query("planted_truth_checks", f"""with {CLICKS_SQL} select count(*) filter (click_id % 5 = 0) as wrong_label, count(*) filter (click_id % 7 = 0) as unknown_click,
+  count(*) filter (click_id % 3 = 0 and click_id % 7 <> 0) as unequal_time, count(*) filter (click_id % 11 = 0 and final_label = 0) + count(*) filter (click_id % 11 = 0 and final_label = 1) as wrong_delay from truth""")
+def planted_truth_checks(spark, sf_dir):
+    """Labels turned, clicks that features lack, times moved in the features, and truth far outside the window."""
+    from latelens.operators import checks
+
+    at = lambda k: F.col("click_id") % k == 0
+    t = truth(spark, sf_dir)
+    f = t.where(~at(7)).withColumn("click_time", F.col("click_time") + F.when(at(3), 1).otherwise(0))
+    both = []
+    for i, part in enumerate(features.route_truth(t)):
+        part = part.withColumn("available_at", F.col("available_at") + F.when(at(11), 10 * MATURITY).otherwise(0))
+        both.append(checks.truth_part(part.withColumn("final_label", F.when(at(5), i).otherwise(F.col("final_label"))), f, 1 - i, MATURITY, 0.0))
+    return protocol.union_all(both).agg(*[F.sum(c).alias(c) for c in both[0].columns])
+
+
+@query("planted_trace_audit", _trace + " select click_id, case when click_id % 5 = 0 then 2 when click_id % 7 = 0 then 0 else 1 end::bigint as n_predictions from truth where click_id % 5 = 0 or click_id % 7 = 0 or click_id % 11 = 0")
+def planted_trace_audit(spark, sf_dir):
+    """Some clicks predicted twice, some never, and some delivered before they are predicted."""
+    t = truth(spark, sf_dir)
+    e, at = eventtime.event_trace(t, TICK, origin(t)), lambda k: F.col("click_id") % k == 0
+    twice = e.where((F.col("kind") == "predict") & at(5))
+    early = (F.col("kind") == "deliver") & at(11)
+    e = e.where(~((F.col("kind") == "predict") & at(7) & ~at(5))).withColumn("tick", F.when(early, F.col("tick") - 1).otherwise(F.col("tick")))
+    return eventtime.audit(e.unionByName(twice))
+
+
+@query("field_failures", REASONS_SQL + """ select * from (select unnest(['Sale', 'SalesAmountInEuro', 'time_delay_for_conversion', 'click_timestamp', 'nb_clicks_1week', 'product_price']) as field,
+  unnest([count(*) filter (sale_n = -1), count(*) filter ((sale_n = 0 and a <> -1) or (sale_n = 1 and a < 0)), count(*) filter ((sale_n = 0 and d <> -1) or (sale_n = 1 and d < 0)),
+  count(*) filter (isnan(t) or t <= 0), count(*) filter (k < -1), count(*) filter (pp is null or pp < -1)]) as n from v) where n > 0""")
+def field_failures(spark, sf_dir):
+    return ingest.field_histogram(_validated(spark, sf_dir), FIELDS)
+
+
 @query("missing_days", f"with {CLICKS_SQL} select cast(d as int) as click_day from range(0, 41) r(d) where d not in (select click_day from truth)")
 def missing_days(spark, sf_dir):
     from latelens.operators import checks

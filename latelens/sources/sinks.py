@@ -23,7 +23,7 @@ def write_sorted(df: DataFrame, path: str, *order: str) -> None:
 
 
 def write_quarantine(validated: DataFrame, path: str) -> None:
-    validated.where(F.size("reasons") > 0).select("raw_row_index", F.col("reasons").alias("reason_codes")).write.option("compression", "zstd").mode("errorifexists").parquet(path)
+    validated.where(F.size("reasons") > 0).select("raw_row_index", F.col("reasons").alias("reason_codes"), "failing_fields").write.option("compression", "zstd").mode("errorifexists").parquet(path)
 
 
 def write_truth(truth: DataFrame, root: str, day: int, origin: int = 0) -> None:

@@ -2,7 +2,8 @@
 
 Truth arrives as a stream of events (kind, click_id, time): clicks and conversions. Records leave as
 soon as they are legal. Stateless parts stay expressions; what must wait for a click's maturity keeps
-one small state per click until then, and late events go to a side output.
+one small state per click until then. Events behind the watermark, and conversions whose click can't come
+any more, are records of kinds of their own (SIDE), which append_to writes to a side table.
 """
 
 from __future__ import annotations
@@ -33,22 +34,33 @@ def join_conversions(clicks: DataFrame, conversions: DataFrame, maturity_seconds
     return c.join(v, (F.col("c.click_id") == F.col("v.click_id")) & within, "left_outer").select("c.click_id", "c.click_time", "v.conversion_time")
 
 
-def fixed_wait(events: DataFrame, wait_seconds: float, maturity_seconds: float, lateness: str = "1 hour") -> DataFrame:
+#: Kinds of what a run must not train on: an event behind the watermark, and a conversion without its click.
+SIDE = ("LATE", "ORPHAN")
+
+
+def fixed_wait(events: DataFrame, wait_seconds: float, maturity_seconds: float, lateness_seconds: int = 3_600) -> DataFrame:
     """Early positives at their reveal, negatives at the end of the wait, corrections after it.
 
-    State per click lives until its maturity has passed by the watermark."""
+    State per click lives until its maturity has passed by the watermark, which is the greatest time seen
+    before a batch less lateness_seconds; that of a conversion without a click until the watermark reaches
+    it. Spark's own watermark lags by a maturity, so that events behind the watermark are still seen and
+    told as LATE; only those later than that are dropped, and counted, by Spark. Times begin at the epoch."""
+    lag = float(maturity_seconds)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         click, conversion, provisional, done = state.get if state.exists else (None, None, False, False)
         out: list[tuple] = []
         stamp = lambda s: pd.Timestamp(s, unit="s")
+        behind = state.getCurrentWatermarkMs() / 1000
+        now = behind + lag if behind > 0 else float("-inf")
         for f in frames:
-            for kind, t in sorted(zip(f["kind"], f["time"].astype("int64") / 1e9), key=lambda x: x[1]):
-                if kind == "click" and click is None:
+            for kind, t in sorted(zip(f["kind"], f["time"].astype("datetime64[us]").astype("int64") / 1e6), key=lambda x: x[1]):
+                if t < now:
+                    out.append((key[0], stamp(t), "LATE", None, "fixed_wait"))
+                elif kind == "click" and click is None:
                     click = t
                 elif kind == "conversion" and conversion is None:
                     conversion = t
-        now = state.getCurrentWatermarkMs() / 1000
         if click is not None and not done:
             due = click + wait_seconds
             if conversion is not None and conversion <= due:
@@ -60,15 +72,22 @@ def fixed_wait(events: DataFrame, wait_seconds: float, maturity_seconds: float,
             if not done and conversion is not None and due < conversion <= click + maturity_seconds:
                 out.append((key[0], stamp(conversion), "CORRECTION", 1.0, "fixed_wait"))
                 done = True
-        if click is not None and now >= click + maturity_seconds:
-            state.remove()
+        ends = click + maturity_seconds if click is not None else conversion
+        if ends is None or now >= ends:
+            if click is None and conversion is not None:
+                out.append((key[0], stamp(conversion), "ORPHAN", None, "fixed_wait"))
+            if state.exists:
+                state.remove()
         else:
             state.update((click, conversion, provisional, done))
-            wake = click + (maturity_seconds if provisional or done else wait_seconds) if click is not None else now + maturity_seconds
-            state.setTimeoutTimestamp(int(max(wake, now + 0.001) * 1000) + 1)
-        yield pd.DataFrame(out, columns=["click_id", "available_at", "kind", "target", "method"])
+            wake = ends if click is None or provisional or done else click + wait_seconds
+            state.setTimeoutTimestamp(int(max(wake - lag, behind + 0.001) * 1000) + 1)
+        d = pd.DataFrame(out, columns=["click_id", "available_at", "kind", "target", "method"])
+        yield d.astype({"target": "float64", "available_at": "datetime64[ns]"})
 
-    return events.withWatermark("time", lateness).groupBy("click_id").applyInPandasWithState(step, RECORDS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # a millisecond on, since Spark takes what stands at its first watermark, the epoch, for late
+    timed = events.withColumn("clock", F.col("time") + F.expr("interval 1 millisecond")).withWatermark("clock", f"{int(lateness_seconds + lag)} seconds")
+    return timed.groupBy("click_id").applyInPandasWithState(step, RECORDS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def complete_wait(clicks: DataFrame, conversions: DataFrame, maturity_seconds: int, lateness: str = "1 hour") -> DataFrame:
@@ -83,6 +102,20 @@ def tick_counts(events: DataFrame, tick: str = "1 hour", lateness: str = "1 hour
     return events.withWatermark("time", lateness).groupBy(F.window("time", tick), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("tick"), "kind", "n")
 
 
-def append_to(records: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends records and stops when what is there has been read."""
-    return records.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+def append_to(records: DataFrame, path: str, checkpoint: str, side: str | None = None):
+    """Starts a query that appends records and stops when what is there has been read.
+
+    With side, records of the SIDE kinds go there instead; then each batch has a folder of its own in
+    both tables, which a batch that is run again replaces."""
+    w = records.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
+    if side is None:
+        return w.format("parquet").start(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        aside = F.col("kind").isin(*SIDE)
+        for to, rows in ((path, ~aside), (side, aside)):
+            batch.where(rows).write.mode("overwrite").parquet(f"{to}/batch={number}")
+        batch.unpersist()
+
+    return w.foreachBatch(write).start()

@@ -65,6 +65,6 @@ def test_evaluate_and_compare_from_files(spark, tmp_path, capsys):
     assert out["metrics"][0]["n"] == 300 and out["ranking"][0]["roc_auc"] == 1
     assert cli.main(["compare", a, b]) == 0
     rows = json.loads(capsys.readouterr().out)
-    assert len(rows) == 6 and all(r["upper"] < 0 for r in rows)
+    assert len(rows) == 12 and all(r["upper"] < 0 for r in rows if r["metric"] in ("log_loss", "brier"))
     (tmp_path / "bad.json").write_text("{}")
     assert cli.main(["inspect", str(tmp_path / "bad.json")]) == 2

@@ -90,3 +90,28 @@ def test_unsafe_tar(tmp_path):
         t.add(tmp_path / "x", "../x")
     with pytest.raises(ValueError, match="unsafe"):
         readers.check_tar(str(tmp_path / "b.tar"))
+
+
+def test_numbers_are_those_that_float_takes(spark):
+    texts = ["12d", "3f", "_1", "1_", "1__0", "1_0", "+1.", ".5", "1e5", "1e+05", "1e", ".", "", "nan", "-inf", "Infinity", "0x1", "1 2", " 7 ", "1.5_5", "+-1", "١"]
+
+    def known(t):
+        try:
+            return repr(float(t))
+        except ValueError:
+            return None
+
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", ingest.number(F.col("t")).alias("n")).collect()}
+    assert {t: None if n is None else repr(n) for t, n in got.items()} == {t: known(t) if t != "١" else None for t in texts}
+
+
+def test_failing_fields(spark):
+    fields = ["Sale", "SalesAmountInEuro", "time_delay_for_conversion", "click_timestamp", "nb_clicks_1week", "product_price", "device_type"]
+    rows = [("1", "2", "3", "4", "5", "6", "d"), ("x", "2d", "3", "4", "5", "6", ""), ("0", "5", "-1", "0", "-2", "6", "d"), ("1", "2", "nan", "4", "5", None, "d")]
+    v = ingest.reason_codes(spark.createDataFrame(rows, ", ".join(f"{f} string" for f in fields)), fields)
+    got = [sorted(r.failing_fields) for r in v.orderBy("click_timestamp", "Sale").collect()]
+    assert sorted(map(tuple, got)) == sorted([(), ("Sale", "SalesAmountInEuro", "device_type"), ("SalesAmountInEuro", "click_timestamp", "nb_clicks_1week"), ("product_price", "time_delay_for_conversion")])
+    hist = {r.field: r.n for r in ingest.field_histogram(v, fields).collect()}
+    assert hist == {"Sale": 1, "SalesAmountInEuro": 2, "device_type": 1, "click_timestamp": 1, "nb_clicks_1week": 1, "product_price": 1, "time_delay_for_conversion": 1}
+    codes = {r.reason: r.n for r in ingest.reason_histogram(v).collect()}
+    assert codes["INVALID_NUMBER"] == 2 and codes["EMPTY_FIELD"] == 2 and codes["NONFINITE_NUMBER"] == 1
