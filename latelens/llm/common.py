@@ -77,16 +77,23 @@ def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
     return df.repartition(want, *keys) if want > have else df
 
 
-#: Rows of one key that one task of a join takes; a key with more is salted.
-HEAVY = 1_000
+#: Rows of one key that one task of a join takes; a key with more is salted. Heavy keys that are broadcast, at most.
+HEAVY, FEW_HEAVY = 1_000, 10_000
 
 
 def heavy_join(left: DataFrame, right: DataFrame, key: str, salt: str, counts: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has one row a key, by key; a heavy key's rows are dealt by a hash of salt.
 
-    counts(key, k): how often left has a key, where it is known already. Only right's rows of heavy keys are repeated."""
+    counts(key, k): how often left has a key, where it is known already. Only right's rows of heavy keys are
+    repeated. The heavy keys themselves are few: they are looked up first, and where there are none the join
+    is a plain one; only more than FEW_HEAVY of them are joined without being gathered."""
     counts = left.groupBy(key).agg(F.count("*").alias("k")) if counts is None else counts
     heavy = counts.where(F.col("k") > HEAVY).select(key, F.ceil(F.col("k") / HEAVY).cast("int").alias("__salts"))
+    some = heavy.limit(FEW_HEAVY + 1).collect()
+    if not some:
+        return left.join(right, key)
+    if len(some) <= FEW_HEAVY:
+        heavy = F.broadcast(left.sparkSession.createDataFrame(some, heavy.schema))
     salts = F.coalesce("__salts", F.lit(1))
     a = left.join(heavy, key, "left").withColumn("__salt", F.pmod(F.xxhash64(salt), salts).cast("int")).drop("__salts")
     b = right.join(heavy, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")

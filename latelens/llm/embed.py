@@ -128,7 +128,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, visits: int = VISIT
             yield out[["name", "rep", "k", "d", "v"]]
 
     rows = vectors.select(id_text("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    named = rows.mapInPandas(names, "vec_id string, name string").withColumn("vec_id", F.col("vec_id").cast("long"))
+    named = stored(rows.mapInPandas(names, "vec_id string, name string").withColumn("vec_id", F.col("vec_id").cast("long")))
     parts = rows.mapInPandas(collapse, "name string, rep long, k long, d string, v binary")
     classes = stored(parts.groupBy("name").agg(F.min("rep").alias("rep"), F.sum("k").alias("k"), F.first("d").alias("d"), F.first("v").alias("v")))
     first = stored(filed(classes.select("name", F.col("d").alias("grp"), "v"), kind, visits))

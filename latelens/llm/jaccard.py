@@ -255,7 +255,7 @@ def linked_classes(found: DataFrame, shingle: int, percent: int) -> DataFrame:
     open_ = members.select("hub", "node", "n").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = open_.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     split = roots.groupBy("hub").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    open_ = stored(heavy_join(open_, split.select("hub", F.col("top.root").alias("top")), "hub", "node").withColumn("band", band))
+    open_ = stored(heavy_join(open_, split.select("hub", F.col("top.root").alias("top")), "hub", "node", members.groupBy("hub").agg(F.count("*").alias("k"))).withColumn("band", band))
     # a row outside the largest group meets rows of its own band and of its neighbours
     left = open_.where("root <> top").select("hub", "band", F.lit(0).alias("side"), "node", "root", "n")
     right = open_.select("hub", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.lit(1).alias("side"), "node", "root", "n")
@@ -291,7 +291,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     named = found.where("node <> ''").select("node", "n", F.col("least").cast(id_kind(docs)).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(heavy_join(named, least, "root", "node").select("node", F.col("n").alias("n_shingles"), "component_id"))
-    ids = _named(docs, False)
+    ids = stored(_named(docs, False))
     linked = heavy_join(ids.where("node <> ''"), named, "node", "doc_id").select("doc_id", "n_shingles", "component_id")
     alone = ids.where("node = ''").select("doc_id", F.lit(0).cast("long").alias("n_shingles")).withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone)

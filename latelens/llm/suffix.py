@@ -38,7 +38,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, heavy_join, parsed, tidied
+from .common import cut, dealt, heavy_join, parsed, stored, tidied
 from .exchange import REQUEST, answered, as_frame, joined, mixed, pack, pack_sorted, power_of_two, replies_of, requests, text_bytes, unpack, unpack_sorted
 
 WINDOW = 50
@@ -436,7 +436,7 @@ def _splits(pieces: DataFrame, hits: int, ranges: int) -> np.ndarray:
 
 def _spread(docs: DataFrame, texts: DataFrame, full: bool) -> DataFrame:
     """texts' results for each row of docs."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("name"))
+    ids = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("name")))
     j = heavy_join(ids, texts, "name", "doc_id")
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= WINDOW)
     none = F.col("doc_id").isNull()
