@@ -127,3 +127,8 @@ def compare(control: DataFrame, candidate: DataFrame, replicates: int = bootstra
 
 def report(tables: dict[str, DataFrame | None], kind: str = "html") -> str:
     return sinks.render(tables, kind)
+
+
+def reproduce(spark: SparkSession, path: str, ledgers: dict[str, DataFrame]) -> list[str]:
+    """Names of the ledgers in which a run that was made anew differs from the one written at path."""
+    return sinks.changed_ledgers(spark, path, ledgers)

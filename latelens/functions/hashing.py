@@ -80,3 +80,17 @@ def record_key(ref: Column, kind: Column) -> Column:
 def mix64(c: Column) -> Column:
     """A splitmix-style scramble of longs: Spark's own bijective-by-seed hash of one long."""
     return F.xxhash64(c.cast("long"))
+
+
+def is_hex_id(c: Column, size: int = 32) -> Column:
+    """Whether a string is size bytes in lowercase hex."""
+    return F.coalesce(c.rlike(f"^[0-9a-f]{{{2 * size}}}$"), F.lit(False))
+
+
+def id_bytes(c: Column, size: int = 32) -> Column:
+    """The bytes of a hex id, null where it isn't one."""
+    return F.when(is_hex_id(c, size), F.unhex(c))
+
+
+def id_hex(c: Column) -> Column:
+    return F.lower(F.hex(c))

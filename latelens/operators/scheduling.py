@@ -1,10 +1,12 @@
-"""Credit windows, fixed and drift-triggered spending, monitoring evidence."""
+"""Credit windows, fixed and drift-triggered spending, monitoring evidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from latelens.operators.states import replay_differences
+
 
 def credit_windows(spark: SparkSession, start_day: int = 31, end_day: int = 90, window_days: int = 5) -> DataFrame:
     """Half-open tumbling windows with their early, midpoint and deadline days; the last may be short."""
@@ -58,6 +60,16 @@ def drift_decisions(windows: DataFrame, scores: DataFrame, threshold: float = 3.
     return d.select("window_id", "day", "score", (~before & (hit | forced)).alias("spend"), reason.alias("reason"))
 
 
+def replayed_fixed(decisions: DataFrame, windows: DataFrame, policy: str) -> DataFrame:
+    """Decisions that differ from what the fixed policy decides over the same windows."""
+    return replay_differences(decisions, fixed_spends(windows, policy), ["window_id", "day"], ["spend", "reason"])
+
+
+def replayed_drift(decisions: DataFrame, windows: DataFrame, scores: DataFrame, threshold: float = 3.0, tolerance: float = 1e-9) -> DataFrame:
+    """Decisions that differ from what the logged evidence makes of each day, in spend, reason or score."""
+    return replay_differences(decisions, drift_decisions(windows, scores, threshold), ["window_id", "day"], ["spend", "reason", "score"], tolerance)
+
+
 def spends_per_window(decisions: DataFrame) -> DataFrame:
     """Windows that aren't spent exactly once."""
     return decisions.groupBy("window_id").agg(F.count_if("spend").alias("n")).where("n <> 1")

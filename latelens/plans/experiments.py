@@ -61,6 +61,15 @@ def snapshots(credits: int, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0
     return [math.ceil(f * credits) for f in fractions]
 
 
+def verified_snapshots(found: DataFrame, credits: int, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """found(run_id, credit): runs and credits whose snapshots are missing, repeated or not asked for."""
+    due = snapshots(credits, fractions)
+    want = found.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(c) for c in due])).alias("credit"))
+    n = found.groupBy("run_id", "credit").agg(F.count("*").alias("n")).join(want.withColumn("due", F.lit(True)), ["run_id", "credit"], "full_outer")
+    what = F.when(F.col("n").isNull(), "missing").when(F.col("due").isNull(), "unexpected").when(F.col("n") > 1, "repeated")
+    return n.select("run_id", "credit", what.alias("difference")).where("difference is not null")
+
+
 def write_lock(path: str, decisions: dict, inputs: dict[str, str]) -> str:
     """Decisions with the digests of what they rest on; a lock is never replaced."""
     return write_object(path, {"decisions": decisions, "inputs": inputs, "digest": plan_id({"d": decisions, "i": inputs})})

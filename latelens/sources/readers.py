@@ -121,6 +121,43 @@ def read_object(path: str) -> dict:
     return value
 
 
+def read_selection(path: str) -> dict:
+    """Selection results from JSON or, by any other suffix, YAML; candidates must have configurations of their own."""
+    if path.lower().endswith(".json"):
+        value = read_object(path)
+    else:
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            value = yaml.safe_load(f)
+    if not isinstance(value, dict) or not isinstance(value.get("candidates"), list):
+        raise ValueError(f"{path}: no candidates")
+    digests = [c.get("config_sha256") for c in value["candidates"]]
+    if None in digests or len(set(digests)) < len(digests):
+        raise ValueError(f"{path}: configuration digests must be there and differ")
+    return value
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, i, value) of one-dimensional numpy arrays in .npy and .npz files, read where the files are.
+
+    For compact evidence: a file is one task's work and must fit in its memory. Pickled objects are refused."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            for p, data in zip(b["path"], b["content"]):
+                got = np.load(io.BytesIO(data), allow_pickle=False)
+                for name, x in got.items() if hasattr(got, "items") else [("", got)]:
+                    if x.ndim != 1:
+                        raise ValueError(f"{p}: {name} isn't one-dimensional")
+                    yield pd.DataFrame({"path": p, "name": name, "i": np.arange(len(x)), "value": x.astype(np.float64)})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, name string, i long, value double")
+
+
 def count_rows(spark: SparkSession, path: str) -> int:
     """From the footers alone."""
     return spark.read.parquet(path).count()
@@ -153,9 +190,26 @@ def monitoring_fixture(spark: SparkSession, days: int = 59, rows: int = 1000, sh
 
     from latelens.functions.hashing import is_member
 
-    ids = spark.range(rows * 14).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("base"))
-    d = ids.select("base", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("click_day")).withColumn("click_id", F.concat_ws("-", "base", "click_day"))
-    d = d.where(is_member(F.col("click_id"), seed))
-    n = F.row_number().over(Window.partitionBy("click_day").orderBy("click_id"))
+    ids = spark.range(rows * 14).select(F.col("id").alias("candidate"), F.explode(F.sequence(F.lit(1), F.lit(days))).alias("click_day"))
+    d = ids.withColumn("click_id", F.concat_ws("-", F.lit("monitor"), "click_day", "candidate")).where(is_member(F.col("click_id"), seed))
+    n = F.row_number().over(Window.partitionBy("click_day").orderBy("candidate"))
     d = d.withColumn("i", n).where(F.col("i") <= rows)
     return d.select("click_id", "click_day", F.when(F.col("click_day") == shift_day, 1).otherwise(F.col("i") % 2).cast("int").alias("final_label"))
+
+
+def training_fixture(spark: SparkSession, days: int = 60, rows: int = 16, seed: int = 20260813) -> DataFrame:
+    """rows mature records a day of clicks outside the monitoring sample; targets alternate, and the feature tells them."""
+    from pyspark.sql import Window
+
+    from latelens.functions.hashing import is_member
+
+    d = spark.range(days * rows * 2).select("id", F.concat(F.lit("training-"), F.col("id").cast("string")).alias("click_id"))
+    d = d.where(~is_member(F.col("click_id"), seed))
+    # a fixture of some thousand candidates
+    d = d.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1).where(F.col("i") < days * rows)
+    target = (F.col("i") % rows % 2 == 0).cast("double")
+    at = (F.floor(F.col("i") / rows) + 30) * DAY
+    return d.select(
+        F.concat(F.lit("complete_wait:"), "click_id", F.lit(":final")).alias("record_id"), "click_id", at.alias("available_at"), F.lit("FINAL").alias("kind"),
+        target.alias("target"), F.lit(1.0).alias("weight"), F.lit("complete_wait").alias("method"), (2 * target - 1).alias("feature"),
+    )

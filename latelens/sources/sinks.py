@@ -7,17 +7,50 @@ import html
 import json
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latelens.errors import IntegrityError
+
 
 def write_days(df: DataFrame, path: str, column: str = "click_day", rows_per_file: int = 1_000_000) -> None:
-    """One folder per day, zstd, in files of bounded size; a hot day is split over several tasks."""
-    salted = df.withColumn("__s", F.pmod(F.spark_partition_id(), F.lit(8)))
+    """One folder per day, zstd, in files of bounded size; a day is split over as many tasks as it wants files.
+
+    Rows are counted by day first: one number a day."""
+    many = df.groupBy(column).count().where(F.col("count") > rows_per_file).collect()
+    salts = F.lit(1)
+    for r in many:
+        salts = F.when(F.col(column).eqNullSafe(F.lit(r[column])), -(-r["count"] // rows_per_file)).otherwise(salts)
+    salted = df.withColumn("__s", F.pmod(F.xxhash64(*df.columns), salts))
     salted.repartition(column, "__s").drop("__s").write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy(column).mode("errorifexists").parquet(path)
 
 
+def tagged(df: DataFrame, tags: dict[str, str]) -> DataFrame:
+    """df whose first column carries tags, which Spark keeps with the schema in each file's footer."""
+    first = df.columns[0]
+    return df.withMetadata(first, dict(df.schema[first].metadata) | {"tags": json.dumps(tags, sort_keys=True)})
+
+
+def tags_of(df: DataFrame) -> dict[str, str]:
+    return json.loads(df.schema[0].metadata.get("tags", "{}"))
+
+
+def write_accepted(validated: DataFrame, path: str, fields: list[str], sep: str = "\t") -> dict[str, int]:
+    """The accepted rows' own fields as delimited text; raises unless accepted and quarantined make up what was parsed
+    and the files hold all that was accepted."""
+    ok = F.size("reasons") == 0
+    validated.where(ok).select(*fields).write.option("sep", sep).option("quote", '"').option("emptyValue", "").mode("errorifexists").csv(path)
+    n = validated.agg(F.count("*").alias("parsed"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("quarantined")).first().asDict()
+    schema = ", ".join(f"`{f}` string" for f in fields)
+    written = validated.sparkSession.read.schema(schema).option("sep", sep).option("quote", '"').csv(path).count()
+    if n["accepted"] + n["quarantined"] != n["parsed"] or written != n["accepted"]:
+        raise IntegrityError("COUNT_MISMATCH", path, written=written, **n)
+    return n
+
+
 def write_sorted(df: DataFrame, path: str, *order: str) -> None:
     df.orderBy(*order).write.option("compression", "zstd").mode("errorifexists").parquet(path)
 
@@ -118,6 +151,91 @@ class Ledger:
             raise ValueError("the ledger differs from its seal")
 
 
+class ExposureLedger(Ledger):
+    """A ledger with a part for each credit, each step of which saw a whole batch."""
+
+    def __init__(self, spark: SparkSession, path: str, batch: int):
+        super().__init__(spark, path, ["credit_id", "step", "draw"], ["credit_id", "step", "draw"])
+        self.batch = batch
+
+    def append(self, part: int, df: DataFrame) -> None:
+        from latelens.operators.protocol import exposure_violations
+
+        if df.where(F.coalesce(F.col("credit_id") != part, F.lit(True))).limit(1).count():
+            raise IntegrityError("WRONG_CREDIT", f"part {part} holds another credit's exposures")
+        if exposure_violations(df, self.batch).limit(1).count():
+            raise IntegrityError("BATCH_SIZE", f"a step of credit {part} saw other than {self.batch} rows")
+        super().append(part, df)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def published(spark: SparkSession, path: str, write: Callable[[str], dict | None]) -> dict | None:
+    """write(folder) into a folder beside path, which takes path's name only when all is written; else it goes."""
+    fs, to = _fs(spark, path)
+    if fs.exists(to):
+        raise IntegrityError("EXISTS", path)
+    _, temp = _fs(spark, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    try:
+        out = write(temp.toString())
+        if not fs.rename(temp, to):
+            raise IntegrityError("NOT_PUBLISHED", path)
+        return out
+    finally:
+        fs.delete(temp, True)
+
+
+def materialised(spark: SparkSession, root: str, identity: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written once under the digest of its identity and read from there on: a cache of features or of day sums."""
+    folder = f"{root.rstrip('/')}/{hashlib.sha256(canonical(identity)).hexdigest()}"
+    fs, done = _fs(spark, f"{folder}/_SUCCESS")
+    if not fs.exists(done):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def table_digest(df: DataFrame) -> dict:
+    """(rows, digest) of a table, whatever the order of its rows: the sum of the rows' hashes, repeats counted."""
+    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h % (1 << 60)), F.lit(0).cast("decimal(38,0)")).alias("s")).first()
+    return {"rows": r.n, "digest": format(int(r.s) % (1 << 64), "016x")}
+
+
+#: The ledgers of a run.
+LEDGERS = ("predictions", "availability", "credits", "exposures", "events")
+
+
+def write_run(spark: SparkSession, path: str, ledgers: dict[str, DataFrame], facts: dict) -> dict:
+    """A run's five ledgers as JSON lines and a manifest with their digests, published at once."""
+    if sorted(ledgers) != sorted(LEDGERS):
+        raise ValueError(f"a run has the ledgers {', '.join(LEDGERS)}")
+
+    def write(folder: str) -> dict:
+        for k, d in ledgers.items():
+            d.write.option("ignoreNullFields", False).json(f"{folder}/{k}")
+        m = {"ledgers": {k: table_digest(spark.read.schema(d.schema).json(f"{folder}/{k}")) for k, d in ledgers.items()}, "facts": facts}
+        spark.createDataFrame([json.dumps(m, sort_keys=True)], "string").coalesce(1).write.text(f"{folder}/manifest")
+        return m
+
+    return published(spark, path, write)
+
+
+def changed_ledgers(spark: SparkSession, path: str, ledgers: dict[str, DataFrame]) -> list[str]:
+    """Names of ledgers that differ from those of the run at path: none where it was reproduced."""
+    told = json.loads(spark.read.text(f"{path}/manifest").first()["value"])["ledgers"]
+    return sorted(k for k in set(told) | set(ledgers) if k not in told or k not in ledgers or table_digest(ledgers[k]) != told[k])
+
+
+def write_collection(path: str, tables: dict[str, dict], allowed: tuple[str, ...]) -> str:
+    """A manifest of aggregate tables {name: {"rows", "digest"}}; names beyond the allowed ones are refused."""
+    if extra := sorted(set(tables) - set(allowed)):
+        raise IntegrityError("NOT_AGGREGATE", ", ".join(extra))
+    return write_object(path, {"aggregate_only": True, "tables": tables})
+
+
 def cells(df: DataFrame) -> DataFrame:
     """df with arrays joined by ';', as flat files want them."""
     return df.select(*[F.concat_ws(";", F.transform(F.col(c), lambda x: x.cast("string"))).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
@@ -158,3 +276,21 @@ def write_csv(df: DataFrame | None, path: str) -> None:
         w = csv.writer(f, lineterminator="\n")
         w.writerow(columns)
         w.writerows(rows)
+
+
+#: The tables of a report.
+TABLES = ("methods", "schedulers", "evaluations", "reliability", "slices", "paired-intervals", "paired-seeds", "intermediate-budget", "compute", "leakage-audit")
+
+
+def write_tables(tables: dict[str, DataFrame | None], folder: str) -> list[dict]:
+    """All tables of a report as CSV files in a folder of their own, with (path, bytes, sha256) of each."""
+    if extra := sorted(set(tables) - set(TABLES)):
+        raise ValueError(f"not tables of a report: {extra}")
+    os.makedirs(folder, exist_ok=True)
+    out = []
+    for name in TABLES:
+        write_csv(tables.get(name), os.path.join(folder, f"{name}.csv"))
+        with open(os.path.join(folder, f"{name}.csv"), "rb") as f:
+            data = f.read()
+        out.append({"path": f"{name}.csv", "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+    return out
